@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm.bpe import encode_corpus, token_counts
 from tamarack.llm.cooccur import pairs_together
+from tamarack.llm.packing import fill_containers
 from tamarack.llm.setjoin import similar_sets
 from tamarack.llm.topn import top_n
 from tamarack.runtime import table
 
+#: Folder of the public tokenizers' files; never copied into the repository.
+TOKENIZERS = os.environ.get("TAMARACK_TOKENIZERS", "/opt/tokenizers")
+CAPACITY = 2048
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Films whose genres and keywords are nearly the same set."""
@@ -34,7 +42,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pairs(spark, d).select(F.col("item_a").alias("movie_id_a"), F.col("item_b").alias("movie_id_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 2,048 tokens of every document, or of its pieces if it is longer."""
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+    return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _BASKETS = "b AS (SELECT DISTINCT user_id, movie_id FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL), n AS (SELECT movie_id, count(*) AS n FROM b GROUP BY movie_id), t AS (SELECT count(DISTINCT user_id) AS n FROM b), c AS (SELECT x.movie_id AS a, y.movie_id AS b, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.movie_id < y.movie_id GROUP BY 1, 2 HAVING count(*) >= 8)"
 

@@ -1,2 +1,9 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Every query of the core by name, and the SQL it is checked against."""
+
+from __future__ import annotations
+
+from tamarack.plans import imports
+
+_PARTS = (imports,)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.bpe import encode_corpus, token_counts
 from tamarack.llm.cooccur import pairs_together
+from tamarack.llm.mojibake import garbled
 from tamarack.llm.packing import fill_containers
 from tamarack.llm.setjoin import similar_sets
+from tamarack.llm.skeleton import look_alikes
 from tamarack.llm.topn import top_n
 from tamarack.runtime import table
 
@@ -42,6 +44,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pairs(spark, d).select(F.col("item_a").alias("movie_id_a"), F.col("item_b").alias("movie_id_b"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Films and rated entries whose titles look the same but are written with other characters."""
+    return look_alikes(table(spark, d, "movies"), "tmdb_id", "title", table(spark, d, "ratings"), "row_id", "name")
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled titles and overviews with the text as it was, as far as it can be regained."""
+    return garbled(table(spark, d, "movies").where("tmdb_id IS NOT NULL"), "tmdb_id", ["title", "overview"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_restored(spark, d).select("tmdb_id", "field").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -53,7 +69,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _BASKETS = "b AS (SELECT DISTINCT user_id, movie_id FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL), n AS (SELECT movie_id, count(*) AS n FROM b GROUP BY movie_id), t AS (SELECT count(DISTINCT user_id) AS n FROM b), c AS (SELECT x.movie_id AS a, y.movie_id AS b, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.movie_id < y.movie_id GROUP BY 1, 2 HAVING count(*) >= 8)"
 

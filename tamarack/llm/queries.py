@@ -11,6 +11,7 @@ from tamarack.llm.bpe import encode_corpus, token_counts
 from tamarack.llm.cooccur import pairs_together
 from tamarack.llm.mojibake import garbled
 from tamarack.llm.packing import fill_containers
+from tamarack.llm.reading import reading_levels
 from tamarack.llm.setjoin import similar_sets
 from tamarack.llm.skeleton import look_alikes
 from tamarack.llm.topn import top_n
@@ -69,7 +70,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of every document, calibrated by readers' judgements."""
+    return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "reading_level").select("doc_id", "n_words", "level")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of at least 40 words on the scholarly level."""
+    measured = reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "reading_level")
+    return measured.where("n_words >= 40 AND border_3 > 0").select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}
 
 _BASKETS = "b AS (SELECT DISTINCT user_id, movie_id FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL), n AS (SELECT movie_id, count(*) AS n FROM b GROUP BY movie_id), t AS (SELECT count(DISTINCT user_id) AS n FROM b), c AS (SELECT x.movie_id AS a, y.movie_id AS b, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.movie_id < y.movie_id GROUP BY 1, 2 HAVING count(*) >= 8)"
 

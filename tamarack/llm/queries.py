@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.bpe import encode_corpus, token_counts
 from tamarack.llm.cooccur import pairs_together
+from tamarack.llm.match import match_entities
 from tamarack.llm.mojibake import garbled
 from tamarack.llm.packing import fill_containers
 from tamarack.llm.reading import reading_levels
@@ -50,6 +51,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(table(spark, d, "movies"), "tmdb_id", "title", table(spark, d, "ratings"), "row_id", "name")
 
 
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The film each rated entry speaks of, with a confidence. Garbled titles are searched in both forms."""
+    year = F.coalesce("release_year", F.substring("release_date", 1, 4).try_cast("int"))
+    movies = table(spark, d, "movies").select("tmdb_id", "title", year.alias("year"))
+    restored = garbled(movies, "tmdb_id", ["title"]).where("chain <> ''").select("tmdb_id", F.col("text").alias("title"), "restored")
+    both = movies.unionByName(movies.join(restored, ["tmdb_id", "title"]).select("tmdb_id", F.col("restored").alias("title"), "year"))
+    return match_entities(table(spark, d, "ratings"), "row_id", "name", "year", both, "tmdb_id", "title", "year")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_matches(spark, d).select("row_id", "tmdb_id")
+
+
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     """Garbled titles and overviews with the text as it was, as far as it can be regained."""
     return garbled(table(spark, d, "movies").where("tmdb_id IS NOT NULL"), "tmdb_id", ["title", "overview"])
@@ -81,7 +95,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return measured.where("n_words >= 40 AND border_3 > 0").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}
 
 _BASKETS = "b AS (SELECT DISTINCT user_id, movie_id FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL), n AS (SELECT movie_id, count(*) AS n FROM b GROUP BY movie_id), t AS (SELECT count(DISTINCT user_id) AS n FROM b), c AS (SELECT x.movie_id AS a, y.movie_id AS b, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.movie_id < y.movie_id GROUP BY 1, 2 HAVING count(*) >= 8)"
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tamarack.plans import imports
+from tamarack.plans import imports, text_search
 
-_PARTS = (imports,)
+_PARTS = (imports, text_search)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}

@@ -162,10 +162,12 @@ def attribute_phrases(year: Column, vote: Column, votes: Column, runtime: Column
     phrases = PHRASES if phrases is None else phrases
 
     def say(name: str) -> Column:
-        parts = [
-            F.replace(F.replace(F.lit(p), F.lit("{decade}"), decade(year).cast("string")), F.lit("{year}"), year.cast("string"))
-            for p in phrases.get(name, ())
-        ]
+        parts = []
+        for p in phrases.get(name, ()):
+            text = F.lit(p)
+            for mark, value in (("{decade}", decade(year)), ("{year}", year)):
+                text = F.replace(text, F.lit(mark), value.cast("string")) if mark in p else text
+            parts.append(text)
         return F.array(*parts) if parts else none
 
     none = F.array().cast("array<string>")

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.functions import vectors as vx
+from tamarack.operators.dense import top_products
 from tamarack.runtime import cut
 
 # Defaults of the factor model and of what is built on it.
 FACTORS, EPOCHS, REGULARISATION, HOLDOUT, NEIGHBOURS, SEED = 50, 20, 0.02, 0.1, 50, 42
 RIDGE, MIN_OVERLAP, BIAS_WEIGHT = 0.1, 2, 0.5
-#: Items in one block of the neighbour search.
-BLOCK = 4096
 
 
 def clean_ratings(df: DataFrame, user: str, item: str, rating: str, low: float = 0.5, high: float = 5.0) -> DataFrame:
@@ -129,45 +128,16 @@ def rank_score(mu: float, bi, q, p, bias_weight: float = BIAS_WEIGHT):
     return F.lit(mu) + bias_weight * bi + vx.dot(q, p)
 
 
-def neighbours(items: DataFrame, k: int = NEIGHBOURS, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """(src, dst, sim, rank): the k items of greatest cosine to each item (or to each of `queries`), itself excluded.
-
-    Exact. Vectors are packed into blocks; block pairs are multiplied by numpy and only k candidates per row leave a
-    block pair, so what is shuffled is rows * blocks * k at most, never all pairs. Ties by id. Zero vectors have cosine 0.
-    """
-    n_blocks = max(1, -(-items.count() // block))
-
-    def packed(df: DataFrame) -> DataFrame:
-        unit = df.where(F.col("qi").isNotNull()).select("item", vx.unit(F.col("qi")).alias("v"), F.pmod(F.xxhash64("item"), F.lit(n_blocks)).alias("b"))
-        return unit.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("item", "v"))).alias("rows"))
-
-    left = packed(queries if queries is not None else items).select(F.col("b").alias("bl"), F.col("rows").alias("l"))
-    right = packed(items).select(F.col("b").alias("br"), F.col("rows").alias("r"))
-    # every block meets every block: blocks, not rows, and one join key per pair
-    keys = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    pairs = left.withColumn("br", F.explode(keys)).join(right, "br")
-    kind = items.schema["item"].dataType.simpleString()
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for l, r in zip(b.column("l"), b.column("r"), strict=True):
-                a, c = l.as_py(), r.as_py()
-                ids_a, ids_c = np.array([x["item"] for x in a]), np.array([x["item"] for x in c])
-                s = np.array([x["v"] for x in a]) @ np.array([x["v"] for x in c]).T
-                s[ids_a[:, None] == ids_c[None, :]] = -np.inf
-                keep = min(k, s.shape[1])
-                # ties at the cut would depend on the order of items: all of them go on
-                edge = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-                x, y = np.nonzero((s >= edge[:, None] - 1e-12) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(ids_a[x]), pa.array(ids_c[y]), pa.array(s[x, y])], ["src", "dst", "sim"])
-
-    near = pairs.select("l", "r").mapInArrow(multiply, f"src {kind}, dst {kind}, sim double")
-    w = Window.partitionBy("src").orderBy(F.desc(F.round("sim", 9)), "dst")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def neighbours(items: DataFrame, k: int = NEIGHBOURS, queries: DataFrame | None = None) -> DataFrame:
+    """(src, dst, sim, rank): the k items (item, qi) of greatest cosine to each item, or to each of `queries`, itself
+    excluded. Exact, in blocks; ties by id. Zero vectors have cosine 0."""
+    unit = lambda df, name: df.where(F.col("qi").isNotNull()).select(F.col("item").alias(name), vx.unit(F.col("qi")).alias("v"))
+    near = top_products(unit(queries if queries is not None else items, "l"), unit(items, "r").withColumn("bias", F.lit(0.0)), k, not_self=True)
+    return near.select(F.col("l").alias("src"), F.col("r").alias("dst"), F.col("score").alias("sim"), "rank")
 
 
 def item_item(known: DataFrame, near: DataFrame, mu: float) -> DataFrame:
-    """(user, item, score): neighbours of the items that a user rated above the mean, weighted by by how much."""
+    """(user, item, score): neighbours of the items that a user rated above the mean, weighted by how much."""
     liked = known.where(F.col("rating") > mu).select("user", F.col("item").alias("src"), (F.col("rating") - mu).alias("w"))
     return liked.join(near.where(F.col("sim") > 0).select("src", "dst", "sim"), "src").groupBy("user", F.col("dst").alias("item")).agg(F.sum(F.col("w") * F.col("sim")).alias("score"))
 
@@ -186,11 +156,13 @@ def recommend(users: DataFrame, known: DataFrame, items: DataFrame, near: DataFr
     """
     method = cut(strategies(users, known, items))
     by = lambda m: method.where(F.col("method") == m).select("user")
-    factors = fold_in(known.join(by("fold_in"), "user", "left_semi"), items, mu)
-    full = factors.crossJoin(items.where(F.col("qi").isNotNull())).select(
-        "user", "item", rank_score(mu, F.col("bi"), F.col("qi"), F.col("p")).alias("score"), predicted(mu, F.col("bi"), F.col("qi"), F.col("p")).alias("predicted"), F.lit("fold_in").alias("method")
-    )
+    factors = cut(fold_in(known.join(by("fold_in"), "user", "left_semi"), items, mu))
+    seen = known.select(F.col("user").alias("l"), F.col("item").alias("r")).join(factors.select(F.col("user").alias("l")), "l", "left_semi") if exclude_rated else None
+    best = top_products(factors.select(F.col("user").alias("l"), F.col("p").alias("v")), items.select(F.col("item").alias("r"), F.col("qi").alias("v"), (mu + BIAS_WEIGHT * F.col("bi")).alias("bias")), n, seen)
+    best = best.select(F.col("l").alias("user"), F.col("r").alias("item"), "score")
+    full = best.join(items.select("item", "bi"), "item").select("user", "item", "score", (F.col("score") + (1 - BIAS_WEIGHT) * F.col("bi")).alias("predicted"), F.lit("fold_in").alias("method"))
     second = item_item(known.join(by("item_item"), "user", "left_semi"), near, mu).select("user", "item", "score", F.lit(None).cast("double").alias("predicted"), F.lit("item_item").alias("method"))
+    # users of this strategy know no item of the model, so n rows are enough
     most = catalogue.join(items.select("item"), "item", "left_semi").orderBy(F.desc(F.coalesce("popularity", F.lit(0.0))), "item").limit(n)
     third = by("popularity").crossJoin(F.broadcast(most)).select("user", "item", F.coalesce("popularity", F.lit(0.0)).alias("score"), F.lit(None).cast("double").alias("predicted"), F.lit("popularity").alias("method"))
     every = full.unionByName(second).unionByName(third)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import vectors as vx
 from tamarack.functions.text import decade
+from tamarack.operators.dense import top_products
 from tamarack.operators.fusion import reciprocal_ranks
 
 # Fixed values.
@@ -50,14 +51,11 @@ def _mean(reviews: DataFrame) -> DataFrame:
 
 
 def content_recommendations(tastes: DataFrame, vectors: DataFrame, seen: DataFrame, n: int) -> DataFrame:
-    """(user, item, score, rank from 0): the n items nearest to each taste that the user has not seen.
-
-    The user side is what is asked for in one call; the catalogue is matched against it and cut per user.
-    """
-    scored = tastes.crossJoin(vectors).select("user", "item", vx.dot(F.col("vector"), F.col("taste")).alias("score"))
-    fresh = scored.join(seen.select("user", "item"), ["user", "item"], "left_anti")
-    w = Window.partitionBy("user").orderBy(F.desc(F.round("score", 9)), "item")
-    return fresh.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
+    """(user, item, score, rank from 0): the n items (item, vector) nearest to each taste that the user has not seen."""
+    left = tastes.select(F.col("user").alias("l"), F.col("taste").alias("v"))
+    gone = seen.select(F.col("user").alias("l"), F.col("item").alias("r")).join(left.select("l"), "l", "left_semi")
+    best = top_products(left, vectors.select(F.col("item").alias("r"), F.col("vector").alias("v"), F.lit(0.0).alias("bias")), n, gone)
+    return best.select(F.col("l").alias("user"), F.col("r").alias("item"), "score", (F.col("rank") - 1).alias("rank"))
 
 
 def facet_weights(likes: DataFrame, facets: dict[str, DataFrame]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tamarack.plans import films, imports, text_search
+from tamarack.plans import films, imports, recommend, text_search
 
-_PARTS = (imports, text_search, films)
+_PARTS = (imports, text_search, films, recommend)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}

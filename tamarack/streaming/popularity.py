@@ -12,9 +12,10 @@ from tamarack.runtime import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files at `path` as a stream, with the schema of what lies there."""
+    """Parquet files at `path`, a folder or one file, as a stream, with the schema of what lies there."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    # as a pattern that only the path itself matches: plain paths of a stream must be folders
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def popularity(events: DataFrame, time: str, kind: str, value: str, window: str = "1 day", late: str | None = "2 days") -> DataFrame:

@@ -102,7 +102,7 @@ def _count(blocks: int, least: int):
         return _merge(low, high, w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task may get several blocks; a pair lies in one of them, so one set of counts serves all
+        # one block per task; were there more, a pair would still lie in one of them, so one set of counts serves all
         held, rows = [], 0
         done = None
         for batch in batches:
@@ -149,7 +149,7 @@ def pairs_together(df: DataFrame, basket: str, item: str, min_together: int = 1,
     work = weighted.agg(F.sum(F.size("items").cast("double") * (F.size("items") - 1) / 2)).first()[0] or 0.0
     blocks = int(max(2 * cores(df.sparkSession), -(-work // PAIRS_PER_BLOCK)))
     spread = weighted.mapInArrow(_spread(blocks), "block int, items array<long>, weight long")
-    found = spread.repartition(blocks, "block").mapInArrow(_count(blocks, least), "a long, b long, n long")
+    found = spread.repartitionById(blocks, "block").mapInArrow(_count(blocks, least), "a long, b long, n long")
     n_a = counts.select(F.col("i").alias("a"), F.col("n").alias("n_a"))
     n_b = counts.select(F.col("i").alias("b"), F.col("n").alias("n_b"))
     out = found.join(small(n_a), "a").join(small(n_b), "b").withColumn("n_baskets", F.lit(total).cast("long"))

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,21 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def scratch_file(name: str) -> str:
-    """A file of this process, for tests and driver-side exchanges only."""
-    return os.path.join(tempfile.mkdtemp(prefix="tamarack-"), name)
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of all executors, wherever it lies on the driver."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tamarack-"), "tamarack.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("tamarack", os.path.relpath(full, package)))
+    context.addPyFile(target)  # served to executors by the driver
+    _shipped.add(context.applicationId)

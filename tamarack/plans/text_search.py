@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text as tx
 from tamarack.functions import vectors as vx
+from tamarack.functions.models import encode, hashed_encoder
 from tamarack.functions.similarity import edit_similarity, name_score
 from tamarack.operators import fusion as fu
 from tamarack.operators import search as se
@@ -216,6 +217,12 @@ def matched_keywords(spark: SparkSession, d: str) -> DataFrame:
     return se.matched_keywords(terms, vec).select(F.col("id").alias("label"), "keywords")
 
 
+def passage_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of every film's passage by the test encoder."""
+    text = tx.with_prefix(tx.passage(F.col("overview"), F.col("title"), F.lit(None).cast("array<string>")), "e5", "passage")
+    return films(spark, d).select("tmdb_id", encode(text, hashed_encoder(32)).alias("vector"))
+
+
 def search_auto(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search with explanations over all documents: lexical, vector and name signals, second score, filters."""
     docs = table(spark, d, "documents")
@@ -229,7 +236,7 @@ def search_auto(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_film_topk, bm25_term_stats, bm25_lengths, bm25_batch, stopword_postings, fold_accents, vector_topk, unit_vectors, popularity_prior, zscore_relu_fusion, synopsis_positive, full_ranking,
-    per_signal_candidates, minmax_blend, relevance_confidence, signal_shares, rerank_head_tail, intent_weights, name_search, wratio_name_search, title_terms, matched_keywords, search_auto,
+    per_signal_candidates, minmax_blend, relevance_confidence, signal_shares, rerank_head_tail, intent_weights, name_search, wratio_name_search, title_terms, matched_keywords, passage_vectors, search_auto,
 )}
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)

@@ -371,16 +371,16 @@ ORACLE = {
     "item_knn": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), s AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) / (a.n * b.n) AS sim FROM e a, e b WHERE a.id % 20 = 0 AND a.id <> b.id),
         k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS rn FROM s) SELECT src, dst, round(sim, 6) AS sim FROM k WHERE rn <= 50""",
     "item_item_scores": f"""WITH {FILMS}, {RATINGS}, {_NEAR}, s AS (SELECT u AS "user", dst AS item, round(sum((rating - 3.5) * sim), 6) AS score FROM r JOIN near ON src = i WHERE rating > 3.5 AND u % 20 = 0 GROUP BY 1, 2),
-        k AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM s) SELECT * FROM k WHERE rank <= 10""",
+        k AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM s) SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM k WHERE rank <= 10""",
     "predicted_ratings": f"""WITH {_TASTE} SELECT r.u AS "user", r.i AS item, round(3.5 + bi + list_dot_product(v, t), 5) AS predicted, round(3.5 + 0.5 * bi + list_dot_product(v, t), 5) AS rank_score FROM r JOIN fv ON fv.i = r.i JOIN ta ON ta.u = r.u""",
     "prediction_errors": f"WITH {RATINGS}, m AS (SELECT i, avg(rating) AS p FROM r GROUP BY 1) SELECT count(*) AS n, round(sqrt(avg((p - rating) * (p - rating))), 6) AS rmse, round(avg(abs(p - rating)), 6) AS mae FROM r JOIN m ON m.i = r.i",
     "strategy_cascade": f"""WITH {FILMS}, {RATINGS}, o AS (SELECT u, count(DISTINCT i) FILTER (i IN (SELECT tmdb_id FROM films)) AS overlap FROM r GROUP BY 1) SELECT u AS "user", overlap, CASE WHEN overlap >= 2 THEN 'fold_in' WHEN overlap >= 1 THEN 'item_item' ELSE 'popularity' END AS method FROM o""",
-    "popularity_fallback": f"WITH {FILMS} SELECT tmdb_id, coalesce(popularity, 0.0) AS score, row_number() OVER (ORDER BY coalesce(popularity, 0.0) DESC, tmdb_id) AS position FROM films ORDER BY position LIMIT 50",
+    "popularity_fallback": f"WITH {FILMS} SELECT tmdb_id, coalesce(popularity, 0.0) AS score, CAST(row_number() OVER (ORDER BY coalesce(popularity, 0.0) DESC, tmdb_id) AS INTEGER) AS position FROM films ORDER BY position LIMIT 50",
     "taste_centroid": f"""WITH {_TASTE} SELECT u AS "user", round(t[1], 5) AS x0, round(t[2], 5) AS x1, round(t[3], 5) AS x2 FROM ta""",
     "content_recommend": f"""WITH {_TASTE}, s AS (SELECT ta.u, fv.i, list_dot_product(v, t) AS score FROM ta, fv WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = ta.u AND r.i = fv.i)),
-        k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) - 1 AS rank FROM s) SELECT u AS "user", i AS item, round(score, 5) AS score, rank FROM k WHERE rank < 10""",
+        k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) - 1 AS rank FROM s) SELECT u AS "user", i AS item, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank < 10""",
     "profile_scalars": f"""WITH {RATINGS}, x AS (SELECT u, round(rating, 1) AS rating FROM r) SELECT u AS "user", count(*) AS n_rated, count(*) FILTER (rating >= 3.5) AS n_liked, round(avg(rating), 2) AS avg_rating FROM x GROUP BY 1""",
-    "profile_facets": f"""WITH {_FACETS}, w AS (SELECT u AS "user", facet, value, round(sum(w), 6) AS weight FROM lk JOIN fa ON fa.id = lk.i GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY "user", facet ORDER BY weight DESC, value) AS rank FROM w) SELECT * FROM k WHERE rank <= CASE facet WHEN 'decades' THEN 4 ELSE 6 END""",
+    "profile_facets": f"""WITH {_FACETS}, w AS (SELECT u AS "user", facet, value, round(sum(w), 6) AS weight FROM lk JOIN fa ON fa.id = lk.i GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY "user", facet ORDER BY weight DESC, value) AS rank FROM w) SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM k WHERE rank <= CASE facet WHEN 'decades' THEN 4 ELSE 6 END""",
     "first_actors": f"WITH {PEOPLE}, n AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY credit_order NULLS FIRST, name) AS rn FROM credits JOIN people USING (person) WHERE role = 'actor') SELECT id, name FROM n WHERE rn <= 5",
     "rrf_fusion": f"""WITH {FILMS}, a AS (SELECT tmdb_id, row_number() OVER (ORDER BY vote_count DESC NULLS LAST, tmdb_id) - 1 AS k FROM films), b AS (SELECT tmdb_id, row_number() OVER (ORDER BY vote_average DESC NULLS LAST, tmdb_id) - 1 AS k FROM films),
         u AS (SELECT tmdb_id, 1.0::DOUBLE / (20 + k) AS s FROM a WHERE k < 60 UNION ALL SELECT tmdb_id, 0.5::DOUBLE / (20 + k) FROM b WHERE k < 60) SELECT tmdb_id, round(sum(s), 9) AS score FROM u GROUP BY 1""",
@@ -400,6 +400,6 @@ ORACLE = {
     "worst_cases": f"""WITH {_POSITIONS} SELECT "case", position FROM po WHERE position > 1 ORDER BY position DESC, "case" LIMIT 8""",
     "precision_at_k": f"""WITH {FILMS}, {_NEAR}, {GENRES}, h AS (SELECT DISTINCT src, dst FROM near JOIN mg a ON a.id = src JOIN mg b ON b.id = dst AND b.name = a.name) SELECT 5 AS k, round((SELECT count(*) FROM h)::DOUBLE / ((SELECT count(DISTINCT src) FROM near) * 5), 6) AS precision""",
     "tfidf_neighbours": f"""WITH {FILMS}, {postings_sql('films', 'tmdb_id', 'overview')}, w2 AS (SELECT p.id, p.term, tf * (ln((1.0 + st.n) / (1 + df)) + 1) AS w FROM p JOIN dfs ON dfs.term = p.term, st), nn AS (SELECT id, sqrt(sum(w * w)) AS n FROM w2 GROUP BY 1), z AS (SELECT w2.id, term, w / n AS w FROM w2 JOIN nn ON nn.id = w2.id), o AS (SELECT min(tmdb_id) AS id FROM films WHERE overview <> ''),
-        s AS (SELECT b.id, round(sum(a.w * b.w), 6) AS score FROM z a JOIN o ON o.id = a.id JOIN z b ON b.term = a.term AND b.id <> a.id GROUP BY 1) SELECT id AS tmdb_id, score, row_number() OVER (ORDER BY score DESC, id) AS position FROM s ORDER BY score DESC, id LIMIT 20""",
+        s AS (SELECT b.id, round(sum(a.w * b.w), 6) AS score FROM z a JOIN o ON o.id = a.id JOIN z b ON b.term = a.term AND b.id <> a.id GROUP BY 1) SELECT id AS tmdb_id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS position FROM s ORDER BY score DESC, id LIMIT 20""",
     "stream_popularity": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }

@@ -44,7 +44,7 @@ def bm25_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Size of the collection, mean length of documents with terms, longest document."""
     index = _index(spark, d)
     lens = index.rows.groupBy("id").agg(F.max("len").alias("len"))
-    return lens.agg(F.lit(index.n_docs).alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.max("len").alias("longest"))
+    return lens.agg(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.max("len").alias("longest"))
 
 
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ _KEY = r"regexp_replace(regexp_replace(trim(lower(title)), '\s+', ' ', 'g'), '^(
 def _topk(source: str, key: str, text: str, name: str) -> str:
     return f"""WITH {FILMS}, {postings_sql(source, key, text)}, q AS (SELECT DISTINCT unnest({tokens_sql(f"'{QUERY}'")}) AS term),
         s AS (SELECT p.id, round({BM25}, 6) AS score FROM p JOIN q ON p.term = q.term JOIN dfs ON dfs.term = p.term, st GROUP BY p.id)
-        SELECT id AS {name}, score, row_number() OVER (ORDER BY score DESC, id) AS position FROM s ORDER BY score DESC, id LIMIT 20"""
+        SELECT id AS {name}, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS position FROM s ORDER BY score DESC, id LIMIT 20"""
 
 
 ORACLE = {
@@ -257,10 +257,10 @@ ORACLE = {
     "bm25_lengths": f"WITH {postings_sql('documents', 'doc_id', 'text')} SELECT any_value(st.n) AS n_docs, round(any_value(st.avgdl), 6) AS avgdl, max(len) AS longest FROM ln, st",
     "bm25_batch": f"""WITH {FILMS}, {postings_sql('films', 'tmdb_id', 'overview')}, q AS (SELECT DISTINCT genre_id, unnest({tokens_sql("name || ' segredo investigação viagem'")}) AS term FROM genres),
         s AS (SELECT genre_id, p.id, round({BM25}, 6) AS score FROM p JOIN q ON p.term = q.term JOIN dfs ON dfs.term = p.term, st GROUP BY 1, 2),
-        k AS (SELECT *, row_number() OVER (PARTITION BY genre_id ORDER BY score DESC, id) AS rank FROM s) SELECT genre_id, id AS tmdb_id, score, rank FROM k WHERE rank <= 3""",
-    "stopword_postings": f"SELECT doc_id, coalesce(len({tokens_sql('text')}), 0) AS n_tokens, len({_CONTENT('coalesce(text, chr(32))')}) AS n_content FROM documents",
+        k AS (SELECT *, row_number() OVER (PARTITION BY genre_id ORDER BY score DESC, id) AS rank FROM s) SELECT genre_id, id AS tmdb_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""",
+    "stopword_postings": f"SELECT doc_id, CAST(coalesce(len({tokens_sql('text')}), 0) AS INTEGER) AS n_tokens, CAST(len({_CONTENT('coalesce(text, chr(32))')}) AS INTEGER) AS n_content FROM documents",
     "fold_accents": f"WITH {FILMS} SELECT tmdb_id, {fold_sql('title')} AS folded FROM films",
-    "vector_topk": f"WITH a AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = {ANCHOR}), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], a.v), 6) AS score FROM embeddings, a) SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS position FROM s ORDER BY score DESC, vec_id LIMIT 20",
+    "vector_topk": f"WITH a AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = {ANCHOR}), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], a.v), 6) AS score FROM embeddings, a) SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS position FROM s ORDER BY score DESC, vec_id LIMIT 20",
     "unit_vectors": "WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id, round(n, 5) AS length, round(CASE WHEN n > 0 THEN list_max(v) / n ELSE list_max(v) END, 5) AS largest FROM x",
     "popularity_prior": f"WITH {FILMS}, x AS (SELECT tmdb_id, ln(1 + coalesce(vote_count, 0)::DOUBLE) AS l FROM films), m AS (SELECT avg(l) AS a, stddev_pop(l) AS s FROM x) SELECT tmdb_id, round(0.35 * CASE WHEN s > 0 THEN (l - a) / s ELSE 0 END, 6) AS prior FROM x, m",
     "zscore_relu_fusion": f"WITH {_SIGNALS} SELECT id AS doc_id, round(lexical, 5) AS lexical, round(synopsis, 5) AS synopsis, round(prior, 5) AS prior, round(lexical + synopsis + prior, 5) AS score FROM sg",
@@ -279,7 +279,7 @@ ORACLE = {
         SELECT title, lexical_weight, base, CASE WHEN b >= 0.92 THEN 0.9 WHEN b >= 0.85 THEN greatest(base, 0.6) ELSE base END::DOUBLE AS name_weight, CASE WHEN b >= 0.85 THEN 'name' ELSE 'description' END AS intent FROM y""",
     "name_search": f"""WITH {FILMS}, x AS (SELECT tmdb_id, {_KEY} AS k, list_contains({_CONTENT('title')}, 'bakazela') AS hit FROM films WHERE title IS NOT NULL), y AS (SELECT *, 1 - levenshtein('bakazela 7', {ascii_sql('k')})::DOUBLE / greatest(length(k), 10) AS b FROM x),
         s AS (SELECT tmdb_id, round(CASE WHEN k = 'bakazela 7' THEN b + 0.5 WHEN starts_with(k, 'bakazela 7') THEN b + 0.15 ELSE b * (0.4 + 0.6 * least(1.0, length(k)::DOUBLE / 10)) * (0.2 + 0.8 * hit::INT::DOUBLE) END, 6) AS score FROM y)
-        SELECT tmdb_id, score, row_number() OVER (ORDER BY score DESC, tmdb_id) AS position FROM s ORDER BY score DESC, tmdb_id LIMIT 40""",
+        SELECT tmdb_id, score, CAST(row_number() OVER (ORDER BY score DESC, tmdb_id) AS INTEGER) AS position FROM s ORDER BY score DESC, tmdb_id LIMIT 40""",
     "title_terms": f"""WITH {FILMS}, x AS (SELECT tmdb_id, [t FOR t IN regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+') IF t IN ('noite', 'azul', 'trem', 'secreto')] AS l FROM films)
         SELECT tmdb_id, list_filter(l, lambda t, i: list_position(l, t) = i) AS terms FROM x WHERE len(l) > 0""",
     "matched_keywords": f"""WITH a AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = {ANCHOR}), s AS (SELECT label, vec_id::VARCHAR AS name, list_dot_product(embedding::DOUBLE[], a.v) AS sim FROM embeddings, a),

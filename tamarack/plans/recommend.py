@@ -223,7 +223,7 @@ def year_band_match(spark: SparkSession, d: str) -> DataFrame:
 def best_title_match(spark: SparkSession, d: str) -> DataFrame:
     """The most similar title of each export row in its year band, by edit likeness at 82 or more."""
     rows = _exports(spark, d).where("year IS NOT NULL")
-    best = lk.best_title(lk.year_candidates(rows, _titles(spark, d)), _percent)
+    best = lk.best_title(lk.year_candidates(rows, _titles(spark, d), alike=True), _percent)
     return best.select(F.col("row").alias("row_id"), F.col("id").alias("tmdb_id"), F.round("score", 4).alias("score"))
 
 
@@ -251,7 +251,7 @@ def lexicographic_best(spark: SparkSession, d: str) -> DataFrame:
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Every export row with the film it was resolved to, by search, else by fuzzy title, else not at all."""
     rows = _exports(spark, d).where("year IS NOT NULL")
-    out = lk.import_ratings(rows, _titles(spark, d), similarity=_percent)
+    out = lk.import_ratings(rows, _titles(spark, d), similarity=_percent, alike=True)
     return out.select(F.col("row").alias("row_id"), F.col("id").alias("tmdb_id"), "resolver")
 
 

@@ -2,7 +2,7 @@
 
 The corpus gives a frequency-ranked vocabulary of fixed size. For every sentence the smallest rank is found up to which
 that vocabulary covers a fixed share of its words, beside its length, clauses and word length; the document has the
-word-weighted quartiles of these over its sentences, so that credits, headings or a stray sentence move nothing. Readers'
+weighted quartiles of these over its sentences, so that credits, headings or a stray sentence move nothing. Readers'
 judgements calibrate them: one threshold model per level border, fitted on a bounded number of labelled documents and
 applied to all as a SQL expression.
 """
@@ -25,6 +25,10 @@ from tamarack.runtime import cut
 VOCABULARY = 65_536
 #: Share of a sentence's words that the vocabulary must cover.
 SHARE = 0.9
+#: A sentence weighs as many as it has words, but so many at most: a few long strays shall not outweigh the rest.
+WEIGHT = 12
+#: Letters that a word counts with at most; longer ones are no words.
+LETTERS = 30
 #: Labelled documents, at most, on which the level borders are fitted.
 LABELLED = 50_000
 QUARTILES = (0.25, 0.5, 0.75)
@@ -84,7 +88,7 @@ def measure(texts: list[str], ranks: dict[str, int], size: int) -> tuple[np.ndar
             ws = _WORD.findall(s)
             if ws:
                 rank += [ranks.get(w, size) for w in ws]
-                letters += map(len, ws)
+                letters += [min(len(w), LETTERS) for w in ws]
                 per_sentence.append(len(ws))
                 commas.append(s.count(","))
                 owner.append(k)
@@ -101,7 +105,7 @@ def measure(texts: list[str], ranks: dict[str, int], size: int) -> tuple[np.ndar
     }
     docs, group = np.unique(np.array(owner), return_inverse=True)
     for j, (m, q) in enumerate((m, q) for m in MEASURES for q in QUARTILES):
-        out[docs, j] = _quantile(group, values[m], n, q, len(docs))
+        out[docs, j] = _quantile(group, values[m], np.minimum(n, WEIGHT), q, len(docs))
     return out, blanks
 
 

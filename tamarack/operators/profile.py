@@ -85,9 +85,9 @@ def first_actors(credits: DataFrame, first: int = FIRST_ACTORS) -> DataFrame:
     return credits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first).select("item", F.col("name").alias("value"))
 
 
-def scalars(ratings: DataFrame) -> DataFrame:
-    """(user, n_rated, n_liked, avg_rating to two places)."""
-    return ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n_rated"), F.count_if(F.col("rating") >= LIKED).alias("n_liked"), F.round(F.avg("rating"), 2).alias("avg_rating"))
+def scalars(ratings: DataFrame, places: int = 2) -> DataFrame:
+    """(user, n_rated, n_liked, avg_rating to so many places)."""
+    return ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n_rated"), F.count_if(F.col("rating") >= LIKED).alias("n_liked"), F.round(F.avg("rating"), places).alias("avg_rating"))
 
 
 def fuse(content: DataFrame, collaborative: DataFrame, seen: DataFrame, n: int) -> DataFrame:

@@ -152,7 +152,7 @@ def content_recommend(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Ratings, liked ratings and mean of every user."""
-    return pr.scalars(ratings(spark, d).withColumn("rating", F.round("rating", 1))).select("user", "n_rated", "n_liked", "avg_rating")
+    return pr.scalars(ratings(spark, d).withColumn("rating", F.round("rating", 3)), 6).select("user", "n_rated", "n_liked", "avg_rating")
 
 
 def _facets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -379,7 +379,7 @@ ORACLE = {
     "taste_centroid": f"""WITH {_TASTE} SELECT u AS "user", round(t[1], 5) AS x0, round(t[2], 5) AS x1, round(t[3], 5) AS x2 FROM ta""",
     "content_recommend": f"""WITH {_TASTE}, s AS (SELECT ta.u, fv.i, list_dot_product(v, t) AS score FROM ta, fv WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = ta.u AND r.i = fv.i)),
         k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) - 1 AS rank FROM s) SELECT u AS "user", i AS item, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank < 10""",
-    "profile_scalars": f"""WITH {RATINGS}, x AS (SELECT u, round(rating, 1) AS rating FROM r) SELECT u AS "user", count(*) AS n_rated, count(*) FILTER (rating >= 3.5) AS n_liked, round(avg(rating), 2) AS avg_rating FROM x GROUP BY 1""",
+    "profile_scalars": f"""WITH {RATINGS}, x AS (SELECT u, round(rating, 3) AS rating FROM r) SELECT u AS "user", count(*) AS n_rated, count(*) FILTER (rating >= 3.5) AS n_liked, round(avg(rating), 6) AS avg_rating FROM x GROUP BY 1""",
     "profile_facets": f"""WITH {_FACETS}, w AS (SELECT u AS "user", facet, value, round(sum(w), 6) AS weight FROM lk JOIN fa ON fa.id = lk.i GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY "user", facet ORDER BY weight DESC, value) AS rank FROM w) SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM k WHERE rank <= CASE facet WHEN 'decades' THEN 4 ELSE 6 END""",
     "first_actors": f"WITH {PEOPLE}, n AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY credit_order NULLS FIRST, name) AS rn FROM credits JOIN people USING (person) WHERE role = 'actor') SELECT id, name FROM n WHERE rn <= 5",
     "rrf_fusion": f"""WITH {FILMS}, a AS (SELECT tmdb_id, row_number() OVER (ORDER BY vote_count DESC NULLS LAST, tmdb_id) - 1 AS k FROM films), b AS (SELECT tmdb_id, row_number() OVER (ORDER BY vote_average DESC NULLS LAST, tmdb_id) - 1 AS k FROM films),

@@ -50,12 +50,15 @@ def _spread(blocks: int):
             row, block = rows[at], own[at]
             length = ends[row] - at
             weight = b.column("weight").to_numpy()[row]
-            for lo in range(0, len(at), 50_000):
-                cutoff = slice(lo, lo + 50_000)
-                n = length[cutoff]
-                index = np.repeat(at[cutoff] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            total, lo = np.cumsum(length), 0
+            while lo < len(at):  # parts of bounded size, whatever the baskets' lengths
+                base = total[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(total, base + CHUNK, "right")))
+                n = length[lo:hi]
+                index = np.repeat(at[lo:hi] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat[index]))
-                yield pa.RecordBatch.from_arrays([pa.array(block[cutoff].astype(np.int32)), items, pa.array(weight[cutoff])], ["block", "items", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[lo:hi].astype(np.int32)), items, pa.array(weight[lo:hi])], ["block", "items", "weight"])
+                lo = hi
 
     return run
 

@@ -1,5 +1,7 @@
 """Skeletons, encodings, tokens, containers, reading levels, entity matching."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -135,3 +137,38 @@ def test_matching(spark):
     assert {k: r["film"] for k, r in got.items()} == {1: 0, 2: 1, 3: 2, 4: 3, 6: 4, 10: 2}
     assert all(0.5 <= r["confidence"] <= 1 for r in got.values())
     assert match.match_entities(left, "id", "title", "year", right.limit(0), "film", "title", "year").count() == 0
+
+
+def test_matching_among_many_of_one_name(spark):
+    films = [(k, "Zemicota", 1900 + k) for k in range(90)] + [(1000 + k, f"A Noite Azul {chr(97 + k // 26)}{chr(97 + k % 26)}xoqui", 1950 + k % 60) for k in range(300)] + [(5000, "Noite Azul", 2005)]
+    rows = [(k, "Zemicota", 1900 + k) for k in (0, 30, 60, 88)] + [(100, "Zemictoa", 1975), (200, "Noite Azlu", 2005)]
+    left = spark.createDataFrame(rows, "id long, title string, year int")
+    right = spark.createDataFrame(films, "film long, title string, year int").where("film % 2 = 0 OR film >= 1000")
+    got = {r["id"]: r["film"] for r in match.match_entities(left, "id", "title", "year", right, "film", "title", "year").collect()}
+    assert got.items() >= {0: 0, 30: 30, 60: 60, 88: 88, 200: 5000}.items()
+
+
+def test_candidates_are_complete(spark):
+    rng = random.Random(3)
+    vocabulary = ["noite", "azul", "farol", "submarino", "de", "o", "the", "vasodira", "xelo", "quibenortaviluzemicotarasu", "zemicota", "norte"]
+
+    def slip(name):
+        at = rng.randrange(len(name))
+        return rng.choice([name, name[:at] + name[at + 1 :], name[:at] + "x" + name[at:], name[:at] + name[at + 1 : at + 2] + name[at] + name[at + 2 :]])
+
+    titles = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 4))) + rng.choice(["", "", " 2", ": " + rng.choice(vocabulary)]), rng.choice([None, 1990, 1991, 1995])) for k in range(120)]
+    names = sorted({(slip(slip(t)), rng.choice([None, 1990, 1994])) for _, t, _ in titles}, key=str)
+    left = spark.createDataFrame([(k, n, y) for k, (n, y) in enumerate(names)], "id long, name string, year int")
+    right = spark.createDataFrame(titles, "film long, title string, year int")
+    known = right.selectExpr("film AS entity", "title", "year AS eyear")
+    read = match._analysed(right.selectExpr("title AS name").union(right.selectExpr("split(title, ':')[0] AS name")))
+    forms = right.selectExpr("title", "explode(array(title, split(title, ':')[0])) AS name").distinct().join(read, "name").select("title", "words", "numbers")
+    asked = left.select("name", "year").join(match._analysed(left.select("name")).select("name", "words", "numbers"), "name")
+    got = {(r["name"], r["year"], r["entity"]) for r in match.candidates(asked, known, forms).collect()}
+    want = set()
+    for n, y in names:
+        for k, t, ty in titles:
+            near = max(match.likeness(match.analyse(n), match.analyse(t), {}), match.SHORTENED * match.likeness(match.analyse(n), match.analyse(t.split(":")[0]), {}))
+            if near >= match.NEAR and (y is None or ty is None or abs(y - ty) <= 1):
+                want.add((n, y, k))
+    assert len(want) > 200 and want <= got

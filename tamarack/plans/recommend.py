@@ -1,7 +1,8 @@
 """Queries of collaborative filtering, taste profiles, linkage, evaluation, the older recommender and streams.
 
 A film's vector is the one whose number is the film's id modulo the number of vectors. Queries that score users against
-the whole catalogue ask for the users whose id is divisible by 20.
+the whole catalogue ask for the users whose id is divisible by 20. Queries whose SQL asks for these users only have a
+second form, ..._all, over every user; fold_in has no SQL and is over every user.
 """
 
 from __future__ import annotations
@@ -63,7 +64,15 @@ def item_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def item_item_scores(spark: SparkSession, d: str) -> DataFrame:
     """The 10 best films of users by the neighbours of what they rated above the mean; neighbours are films of the same language and year."""
-    r = _asked(ratings(spark, d))
+    return _item_item_scores(spark, d, _asked(ratings(spark, d)))
+
+
+def item_item_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    """item_item_scores of every user."""
+    return _item_item_scores(spark, d, ratings(spark, d))
+
+
+def _item_item_scores(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
     near = _next_films(spark, d)
     s = cf.item_item(r, near, MU).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
@@ -86,8 +95,16 @@ _NEAR = "near AS (" + " UNION ALL ".join(f"SELECT src, dst, {1.0 - k / 10!r}::DO
 
 def predicted_ratings(spark: SparkSession, d: str) -> DataFrame:
     """Expected rating and list score of rated films, with the users' tastes as their factors."""
+    return _predicted_ratings(spark, d, _asked(ratings(spark, d)))
+
+
+def predicted_ratings_all(spark: SparkSession, d: str) -> DataFrame:
+    """predicted_ratings of every user."""
+    return _predicted_ratings(spark, d, ratings(spark, d))
+
+
+def _predicted_ratings(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
     items = _film_vectors(spark, d)
-    r = _asked(ratings(spark, d))
     tastes = pr.taste(pr.liked(r), items.select("item", F.col("qi").alias("vector")))
     j = r.join(items, "item").join(tastes, "user")
     return j.select("user", "item", F.round(cf.predicted(MU, F.col("bi"), F.col("qi"), F.col("taste")), 5).alias("predicted"), F.round(cf.rank_score(MU, F.col("bi"), F.col("qi"), F.col("taste")), 5).alias("rank_score"))
@@ -121,7 +138,7 @@ def als_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 def fold_in(spark: SparkSession, d: str) -> DataFrame:
     """Factors of users by ridge regression on given item factors."""
-    return cf.fold_in(_asked(ratings(spark, d)), _film_vectors(spark, d), MU).select("user", F.round(vx.length(F.col("p")), 5).alias("length"))
+    return cf.fold_in(ratings(spark, d), _film_vectors(spark, d), MU).select("user", F.round(vx.length(F.col("p")), 5).alias("length"))
 
 
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +155,16 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 def taste_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Unit taste vector of users: its first three components."""
-    t = pr.taste(pr.liked(_asked(ratings(spark, d))), _film_vectors(spark, d).select("item", F.col("qi").alias("vector")))
+    return _taste_centroid(spark, d, _asked(ratings(spark, d)))
+
+
+def taste_centroid_all(spark: SparkSession, d: str) -> DataFrame:
+    """taste_centroid of every user."""
+    return _taste_centroid(spark, d, ratings(spark, d))
+
+
+def _taste_centroid(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
+    t = pr.taste(pr.liked(r), _film_vectors(spark, d).select("item", F.col("qi").alias("vector")))
     return t.select("user", *[F.round(F.get("taste", F.lit(k)), 5).alias(f"x{k}") for k in range(3)])
 
 
@@ -188,7 +214,16 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def why_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why films fit users: up to two of the user's heaviest genres, for every liked film of users."""
-    r = cut(_asked(ratings(spark, d)))
+    return _why_reasons(spark, d, _asked(ratings(spark, d)))
+
+
+def why_reasons_all(spark: SparkSession, d: str) -> DataFrame:
+    """why_reasons of every user."""
+    return _why_reasons(spark, d, ratings(spark, d))
+
+
+def _why_reasons(spark: SparkSession, d: str, r: DataFrame) -> DataFrame:
+    r = cut(r)
     facets = {"genres": _facets(spark, d)["genres"]}
     w = pr.top_facets(pr.facet_weights(pr.liked(r), facets).withColumn("weight", F.round("weight", 6)))
     return pr.reasons(r.select("user", "item"), w, facets).where("genres IS NOT NULL").select("user", "item", "genres")
@@ -354,8 +389,8 @@ def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    rating_stats, damped_biases, item_knn, item_item_scores, predicted_ratings, prediction_errors, strategy_cascade, popularity_fallback, als_evaluation, fold_in, recommendations, taste_centroid,
-    content_recommend, profile_scalars, profile_facets, first_actors, rrf_fusion, why_reasons, year_band_match, best_title_match, undated_title_match, wratio_match, lexicographic_best, resolve_cascade,
+    rating_stats, damped_biases, item_knn, item_item_scores, item_item_scores_all, predicted_ratings, predicted_ratings_all, prediction_errors, strategy_cascade, popularity_fallback, als_evaluation, fold_in, recommendations, taste_centroid, taste_centroid_all,
+    content_recommend, profile_scalars, profile_facets, first_actors, rrf_fusion, why_reasons, why_reasons_all, year_band_match, best_title_match, undated_title_match, wratio_match, lexicographic_best, resolve_cascade,
     match_rate, resolve_targets, target_positions, mrr_hits, worst_cases, precision_at_k, tfidf_neighbours, hybrid_legacy, stream_popularity, stream_closed_windows,
 )}
 

@@ -120,6 +120,12 @@ def poster_attach(spark: SparkSession, d: str) -> DataFrame:
     return co.with_posters(latin, _posters(spark, d)).select(F.col("id").alias("tmdb_id"), "poster")
 
 
+def poster_attach_all(spark: SparkSession, d: str) -> DataFrame:
+    """poster_attach of every film, whatever its title is written in."""
+    every = films(spark, d).select(F.col("tmdb_id").alias("id"), "title")
+    return co.with_posters(every, _posters(spark, d)).select(F.col("id").alias("tmdb_id"), "poster")
+
+
 def poster_by_title(spark: SparkSession, d: str) -> DataFrame:
     """For every title the poster of the first film that bears it."""
     first = co.once(films(spark, d).where("title IS NOT NULL").select("title", F.col("tmdb_id").alias("id")), "title", F.asc("id"))
@@ -315,6 +321,11 @@ def name_keys(spark: SparkSession, d: str) -> DataFrame:
     return films(spark, d).where(F.col("title").rlike("^[ -~]*$")).select("tmdb_id", tx.name_key(F.col("title")).alias("name_key"), tx.space_key(F.col("title")).alias("space_key"))
 
 
+def name_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    """name_keys of every film, whatever its title is written in."""
+    return films(spark, d).select("tmdb_id", tx.name_key(F.col("title")).alias("name_key"), tx.space_key(F.col("title")).alias("space_key"))
+
+
 def clean_queries(spark: SparkSession, d: str) -> DataFrame:
     """Overviews as queries: the leading filler words gone."""
     short = F.array_join(F.slice(F.split(F.trim("overview"), r"\s+"), 1, 12), " ")
@@ -322,6 +333,12 @@ def clean_queries(spark: SparkSession, d: str) -> DataFrame:
     return films(spark, d).where(F.col("overview").rlike("^[A-Za-z ,.]+$")).select("tmdb_id", tx.clean_query_column(q).alias("cleaned"))
 
 
+def clean_queries_all(spark: SparkSession, d: str) -> DataFrame:
+    """clean_queries of every film and the whole of its overview; without one, what is left of the leading words."""
+    q = F.concat(F.lit("Aquele filme da "), F.coalesce("overview", F.lit("")))
+    return films(spark, d).select("tmdb_id", tx.clean_query_column(q).alias("cleaned"))
+
+
 def random_popular(spark: SparkSession, d: str) -> DataFrame:
     """A seeded random choice of 30 films; the rating stands for the score, 7.5 if unknown."""
     return sample(films(spark, d), 30, 7, "tmdb_id").select("tmdb_id", F.coalesce("vote_average", F.lit(7.5)).alias("score"))
@@ -351,10 +368,10 @@ def latest_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sql_scan, first_row, scalar_exists, point_lookup, catalog_scan, json_catalog, genre_arrays, ratings_csv, ratings_sample, crawl_filter, crawl_dedup, title_map, poster_attach, poster_by_title,
+    sql_scan, first_row, scalar_exists, point_lookup, catalog_scan, json_catalog, genre_arrays, ratings_csv, ratings_sample, crawl_filter, crawl_dedup, title_map, poster_attach, poster_attach_all, poster_by_title,
     poster_prefetch, search_prefetch, remembered_lookups, result_projection, facet_filter_pre, facet_filter_post, popular_page, person_order, title_filter, titles_sorted, with_genres, chosen_ids,
     genre_list, film_genres, film_keywords, facet_lists, film_people, people_documents, person_films, director_and_actor, role_exists, suggest_people, fuzzy_person, fuzzy_keyword, genre_overlap,
-    attribute_phrases, keyword_documents, countries_dates, decade_counts, passages, name_keys, clean_queries, random_popular, title_lookup, keyword_facets, latest_ratings,
+    attribute_phrases, keyword_documents, countries_dates, decade_counts, passages, name_keys, name_keys_all, clean_queries, clean_queries_all, random_popular, title_lookup, keyword_facets, latest_ratings,
 )}
 
 _LISTS = """gl AS (SELECT b.id, list(coalesce(g.name, '') ORDER BY coalesce(g.name, '')) AS names FROM (SELECT DISTINCT tmdb_id AS id, genre_id FROM movie_genres WHERE tmdb_id IS NOT NULL) b LEFT JOIN genres g ON g.genre_id = b.genre_id GROUP BY 1),

@@ -2,12 +2,14 @@
 
 import os
 import sys
+from urllib.parse import quote
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 from twins import DATA, plain  # noqa: E402
 
+from tamarack.functions.text import clean_query  # noqa: E402
 from tamarack.plans.common import ratings  # noqa: E402
 from tamarack.plans.queries import QUERIES  # noqa: E402
 
@@ -30,3 +32,23 @@ def test_every_user_folded_in(spark):
     rated = ratings(spark, DATA).join(films, "item", "left_semi").select("user").distinct()
     got = QUERIES["fold_in"](spark, DATA).select("user")
     assert rated.exceptAll(got).count() == 0 and got.where("user = 777").count() == 1
+
+
+@pytest.mark.parametrize("name", ["poster_attach", "name_keys"])
+def test_every_title(spark, name):
+    some, every = set(rows(spark, name)), rows(spark, f"{name}_all")
+    films = spark.read.parquet(f"{DATA}/movies.parquet").where("tmdb_id IS NOT NULL")
+    assert some < set(every) and len(every) == films.select("tmdb_id").distinct().count()
+
+
+def test_titles_and_whole_overviews(spark, tmp_path):
+    text = "não " + " ".join(f"palavra{k}" for k in range(30)) + " Ünïted 海"
+    cells = [(1, "Ação: Ž", text), (3, "海の夜", None)]
+    empty = spark.read.parquet(f"{DATA}/movies.parquet").limit(0)
+    df = empty.unionByName(spark.createDataFrame(cells, "tmdb_id long, title string, overview string"), allowMissingColumns=True)
+    df.write.parquet(f"{tmp_path}/movies.parquet")
+    one = lambda q: {r["tmdb_id"]: r for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    for r in (1, 3):
+        assert one("clean_queries_all")[r]["cleaned"] == clean_query("Aquele filme da " + (cells[r // 2][2] or "")), r
+    assert one("name_keys_all")[1]["name_key"] == "ação: ž" and one("name_keys_all")[3]["space_key"] == "海の夜"
+    assert one("poster_attach_all")[3]["poster"].endswith("text=" + quote("海の夜"))

@@ -284,8 +284,16 @@ def lexicographic_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Every export row with the film it was resolved to, by search, else by fuzzy title, else not at all."""
-    rows = _exports(spark, d).where("year IS NOT NULL")
+    """Every export row that has a year with the film it was resolved to, by search, else by fuzzy title, else not at all."""
+    return _resolve_cascade(spark, d, _exports(spark, d).where("year IS NOT NULL"))
+
+
+def resolve_cascade_all(spark: SparkSession, d: str) -> DataFrame:
+    """resolve_cascade of every export row; one without a year may be a film of any year."""
+    return _resolve_cascade(spark, d, _exports(spark, d))
+
+
+def _resolve_cascade(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     out = lk.import_ratings(rows, _titles(spark, d), similarity=_percent, alike=True)
     return out.select(F.col("row").alias("row_id"), F.col("id").alias("tmdb_id"), "resolver")
 
@@ -390,7 +398,7 @@ def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rating_stats, damped_biases, item_knn, item_item_scores, item_item_scores_all, predicted_ratings, predicted_ratings_all, prediction_errors, strategy_cascade, popularity_fallback, als_evaluation, fold_in, recommendations, taste_centroid, taste_centroid_all,
-    content_recommend, profile_scalars, profile_facets, first_actors, rrf_fusion, why_reasons, why_reasons_all, year_band_match, best_title_match, undated_title_match, wratio_match, lexicographic_best, resolve_cascade,
+    content_recommend, profile_scalars, profile_facets, first_actors, rrf_fusion, why_reasons, why_reasons_all, year_band_match, best_title_match, undated_title_match, wratio_match, lexicographic_best, resolve_cascade, resolve_cascade_all,
     match_rate, resolve_targets, target_positions, mrr_hits, worst_cases, precision_at_k, tfidf_neighbours, hybrid_legacy, stream_popularity, stream_closed_windows,
 )}
 

@@ -52,3 +52,11 @@ def test_titles_and_whole_overviews(spark, tmp_path):
         assert one("clean_queries_all")[r]["cleaned"] == clean_query("Aquele filme da " + (cells[r // 2][2] or "")), r
     assert one("name_keys_all")[1]["name_key"] == "ação: ž" and one("name_keys_all")[3]["space_key"] == "海の夜"
     assert one("poster_attach_all")[3]["poster"].endswith("text=" + quote("海の夜"))
+
+
+def test_every_export_row(spark):
+    every = QUERIES["resolve_cascade_all"](spark, DATA)
+    exports = spark.read.parquet(f"{DATA}/ratings.parquet")
+    assert every.count() == exports.count()
+    undated = every.join(exports.where("year IS NULL OR year = 0"), "row_id").where("resolver IS NOT NULL")
+    assert undated.count() > 0

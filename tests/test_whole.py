@@ -1,15 +1,19 @@
 """Queries over every row: what their narrower forms leave out is there, and the rest is the same."""
 
 import os
+import random
 import sys
 from urllib.parse import quote
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from twins import DATA, plain  # noqa: E402
 
+from tamarack.functions.similarity import weighted_ratio  # noqa: E402
 from tamarack.functions.text import clean_query  # noqa: E402
+from tamarack.operators.linkage import letters, may_reach  # noqa: E402
 from tamarack.plans.common import ratings  # noqa: E402
 from tamarack.plans.queries import QUERIES  # noqa: E402
 
@@ -54,6 +58,18 @@ def test_titles_and_whole_overviews(spark, tmp_path):
     assert one("poster_attach_all")[3]["poster"].endswith("text=" + quote("海の夜"))
 
 
+def test_filter_keeps_every_match(spark):
+    rng = random.Random(2)
+    words = ["segepisao:", "segepisao", "silencio", "el", "azul", "farol", "de", "noite", "lua"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(90)] + ["segepisao", "segepisao: el silencio", "a", "a  a b"]
+    texts += [t[:k] + rng.choice(["", "x"]) + t[k + 1 :] for t in texts for k in [rng.randrange(len(t))]]
+    one = spark.createDataFrame([(t,) for t in sorted(set(texts))], "name string")
+    of = lambda c: F.struct(letters(F.col(c)).alias("letters"), F.split(F.trim(c), r"\s+").alias("words"))
+    pairs = one.crossJoin(one.toDF("title")).withColumn("kept", may_reach(F.col("name"), F.col("title"), of("name"), of("title"))).collect()
+    lost = [r for r in pairs if not r["kept"] and weighted_ratio(r["name"], r["title"]) >= 82]
+    assert not lost and any(not r["kept"] for r in pairs)
+
+
 def test_every_export_row(spark):
     every = QUERIES["resolve_cascade_all"](spark, DATA)
     exports = spark.read.parquet(f"{DATA}/ratings.parquet")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tamarack.llm import bpe, match, mojibake, packing, reading, retrieval
@@ -52,6 +53,45 @@ def test_garbled(spark):
     assert mojibake.garbled(df.limit(0), "id", ["key"]).count() == 0
 
 
+def misread(text, *chain):
+    """`text` written in one encoding and read by another, step by step."""
+    for right, wrong in chain:
+        raw = text.encode(right)
+        text = raw.decode(wrong) if wrong in mojibake.DOUBLE else "".join({b: c for c, b in mojibake.to_bytes(wrong).items()}.get(x, chr(x)) if x > 127 else chr(x) for x in raw)
+    return text
+
+
+JAPANESE = ["静かな海と約束の夜を彼は忘れない", "猫が赤い列車を見て静かな村に帰る", "約束の庭で猫と海の秘密を見た", "アサトのタイカイノサカ"]
+CHAINS = [
+    ("A irmã traz o pão e a maçã no verão.", [("utf-8", "cp1252"), ("cp1252", "mac_roman")]), ("A irmã traz o pão e a maçã no verão.", [("utf-8", "mac_roman"), ("utf-8", "latin-1")]),
+    ("Según la abuela, el niño salió mañana.", [("utf-8", "iso8859-2")]), ("Según la abuela, el niño salió mañana.", [("utf-8", "cp932")]), ("L'été, la mère a été très sûre.", [("utf-8", "gbk")]),
+    ("O coração não vê a lição.", [("utf-8", "big5")]), ("A irmã traz o pão e a maçã no verão.", [("utf-8", "cp1252")] * 3), ("Город помнит зимний вечер.", [("utf-8", "cp1252"), ("utf-8", "latin-1")]),
+    ("Город помнит зимний вечер.", [("koi8-r", "cp1251")]), (JAPANESE[0], [("utf-8", "cp1252")]), (JAPANESE[1], [("shift_jis", "cp1252")]), (JAPANESE[3], [("euc_jp", "cp932")]), (JAPANESE[0], [("euc_jp", "latin-1")]),
+]
+
+
+def test_chains():
+    batch = pa.RecordBatch.from_arrays([pa.array(CLEAN + JAPANESE * 40)], ["text"])
+    counts = Counter()
+    for b in mojibake._count(iter([batch])):
+        for gram, n in zip(b.column("gram").to_pylist(), b.column("n").to_pylist(), strict=True):
+            if gram >= 0:
+                text = "".join(chr(gram >> k & ((1 << 21) - 1)) for k in (42, 21, 0))
+                for k in range(3):
+                    counts[text[k:]] += n
+    model = mojibake.Model(dict(counts))
+    for text, chain in CHAINS:
+        broken = misread(text, *chain)
+        assert broken != text
+        gain, source, how = model.best(broken)
+        assert (source, gain > 0) == (text, True), (text, chain, broken, source, how)
+        # one broken place in a long sound text is found as any other
+        if all(right == "utf-8" for right, _ in chain):
+            assert model.best("O coração não vê a lição. " + broken)[1] == "O coração não vê a lição. " + text
+    for text in CLEAN + JAPANESE + ["", "plain"]:
+        assert model.best(text) == (0.0, text, ())
+
+
 TEXTS = ["Hello world's  end", "", None, "a" * 5000, "  \n\n x", "日本語の本", "<|endoftext|> é", "xx" * 500 + " 12,3 don't"]
 
 

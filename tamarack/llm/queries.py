@@ -91,8 +91,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of at least 40 words on the scholarly level."""
-    measured = reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "reading_level")
-    return measured.where("n_words >= 40 AND border_3 > 0").select("doc_id").distinct()
+    return p10_levels(spark, d).where("n_words >= 40 AND level = 4").select("doc_id").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}

@@ -1,10 +1,10 @@
 """Reading level of every document, from vocabulary coverage and sentence complexity.
 
-The corpus gives a frequency-ranked vocabulary of fixed size. For every sentence the smallest rank is found up to which
-that vocabulary covers a fixed share of its words, beside its length, clauses and word length; the document has the
-weighted quartiles of these over its sentences, so that credits, headings or a stray sentence move nothing. Readers'
-judgements calibrate them: one threshold model per level border, fitted on a bounded number of labelled documents and
-applied to all as a SQL expression.
+The corpus gives a frequency-ranked vocabulary of fixed size. For every document the smallest rank is found up to which
+that vocabulary covers a fixed share of its words. As credits, headings or a stray sentence move that rank, the same is
+taken of every sentence, beside its length, clauses and word length, and the document has the weighted quartiles of
+these over its sentences. Readers' judgements calibrate all: one threshold model per level border, fitted on a bounded
+number of labelled documents and applied to all as a SQL expression. Who is above a border is above all lower ones.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from tamarack.runtime import cut
 
 #: Words of the ranked vocabulary; any other word has the last rank. Part of the measure, the same at every corpus size.
 VOCABULARY = 65_536
-#: Share of a sentence's words that the vocabulary must cover.
+#: Share of a document's, and of a sentence's, words that the vocabulary must cover.
 SHARE = 0.9
 #: A sentence weighs as many as it has words, but so many at most: a few long strays shall not outweigh the rest.
 WEIGHT = 12
@@ -33,7 +33,7 @@ LETTERS = 30
 LABELLED = 50_000
 QUARTILES = (0.25, 0.5, 0.75)
 MEASURES = ("coverage", "length", "letters", "clauses")
-FEATURES = [f"{m}_{round(q * 100)}" for m in MEASURES for q in QUARTILES]
+FEATURES = ["coverage", *(f"{m}_{round(q * 100)}" for m in MEASURES for q in QUARTILES)]
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?…;\n\r]+")
@@ -104,7 +104,8 @@ def measure(texts: list[str], ranks: dict[str, int], size: int) -> tuple[np.ndar
         "clauses": np.array(commas, float),
     }
     docs, group = np.unique(np.array(owner), return_inverse=True)
-    for j, (m, q) in enumerate((m, q) for m in MEASURES for q in QUARTILES):
+    out[docs, 0] = _quantile(np.repeat(group, n), np.log(np.array(rank, float)), np.ones(len(rank)), SHARE, len(docs))
+    for j, (m, q) in enumerate(((m, q) for m in MEASURES for q in QUARTILES), 1):
         out[docs, j] = _quantile(group, values[m], np.minimum(n, WEIGHT), q, len(docs))
     return out, blanks
 
@@ -172,7 +173,8 @@ def _expression(mean: np.ndarray, spread: np.ndarray, w: np.ndarray) -> Column:
 
 
 def reading_levels(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, levels: int = 4, labelled: int = LABELLED) -> DataFrame:
-    """(key, n_words, level, border_1.. border_n): the reading level of every row, and its distance from each border.
+    """(key, n_words, level, border_1.. border_n): the reading level of every row, and its distance above each border or
+    any higher one, so that the level is one more than the number of borders with a distance above 0.
 
     Several judgements of a document count with their mean; null labels and labels of unknown documents take no part.
     Texts without a word, null ones included, have a null level; with no usable label every level is null. Keys may
@@ -188,5 +190,6 @@ def reading_levels(df: DataFrame, key: str, text: str, labels: DataFrame, label_
     else:
         mean, spread, borders = fit_borders(rows[:, 1:], rows[:, 0], levels)
         out = measured.select("*", *[_expression(mean, spread, w).alias(b) for b, w in zip(names, borders, strict=True)])
+    out = out.withColumns({b: F.greatest(*names[k:]) for k, b in enumerate(names[:-1])})
     above = [F.when(F.col(b) > 0, 1).when(F.col(b) <= 0, 0) for b in names]
     return out.select(F.col("key").alias(key), "n_words", (sum(above[1:], above[0]) + 1).alias("level"), *names)

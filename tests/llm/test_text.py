@@ -151,6 +151,10 @@ def test_reading_levels(spark):
     assert all(got[k]["level"] == 1 for k in range(30)) and all(got[100 + k]["level"] == 4 for k in range(30))
     assert got[503]["level"] == 4 and got[504]["level"] == 1 and got[500]["level"] is None and got[502]["level"] is None
     assert got[500]["n_words"] == 0 and got[0]["n_words"] == 40
+    assert all(r["level"] is None or r["level"] == 1 + sum(r[f"border_{k}"] > 0 for k in (1, 2, 3)) and r["border_1"] >= r["border_2"] >= r["border_3"] for r in got.values())
+    # the rank that covers nine tenths of a document's words
+    features, _ = reading.measure([" ".join("abcdefghij"), "a b. a, b"], {c: k for k, c in enumerate("abcdefghij", 1)}, 100)
+    assert np.exp(features[:, 0]) == pytest.approx([9, 2])
     none = reading.reading_levels(df, "key", "text", labels.limit(0), "d", "level")
     assert none.where("level IS NOT NULL").count() == 0 and reading.reading_levels(df.limit(0), "key", "text", labels, "d", "level").count() == 0
 

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 
 from tamarack.llm import bpe, match, mojibake, packing, reading, retrieval
 from tamarack.llm.queries import TOKENIZERS
-from tamarack.llm.skeleton import look_alikes, skeleton
+from tamarack.llm.skeleton import look_alikes, skeleton, skeletons
 
 PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -28,6 +29,27 @@ def test_other_look(a, b):
     assert skeleton(a) != skeleton(b)
 
 
+# by script, what looks like which Latin letters
+SCRIPTS = [
+    ("АВЕЅІЈКМНОРСТУХѴԜԌ", "ABESIJKMHOPCTYXVWG"), ("аеорсухѕіјһԁԛԝѵүѡ", "aeopcyxsijhdqwvyw"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"), ("ανορυικϲϱ", "avopuikcp"), ("ՕՍՏօոսհցզ", "OUSonuhgq"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"), ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"), ("ⲎⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "HKMNOPCTYX"), ("ᴄᴏᴠᴡᴢɪɑɡıʏ", "covwziagiy"), ("ꮯꮩꮃꮓꮪ", "cvwzs"), ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm"), ("℮ℓℕℚ", "elNQ"),
+]
+
+
+def test_look_alikes_of_every_script(spark):
+    """Pairs by script, and the styled and wide alphabets, whose plain form Unicode's compatibility mapping tells."""
+    pairs = [(a, b) for other, latin in SCRIPTS for a, b in zip(other, latin, strict=True)]
+    pairs += [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(0x1D400, 0x1D6A4)) if unicodedata.name(chr(c), "")]
+    pairs = [(a, b) for a, b in pairs if b.isascii()]
+    assert len(pairs) > 800
+    got = {r["text"]: r["form"] for r in skeletons(spark.createDataFrame([(f"x{a}y",) for a, _ in pairs], "t string"), "t").collect()}
+    wrong = [(a, b, got[f"x{a}y"]) for a, b in pairs if got[f"x{a}y"] != f"x{b}y"]
+    assert not wrong
+    apart = [("x²", "x2"), ("½", "1/2"), ("ー", "一"), ("が", "か"), ("é", "e"), ("A", "a"), ("Ж", "X"), ("l", "I"), ("0", "O"), ("1", "l"), ("rn", "m"), ("-", "–"), ("ф", "o"), ("ß", "B")]
+    forms = {r["text"]: r["form"] for r in skeletons(spark.createDataFrame([(x,) for p in apart for x in p], "t string"), "t").collect()}
+    assert all(forms[a] != forms[b] for a, b in apart), [p for p in apart if forms[p[0]] == forms[p[1]]]
+
+
 def test_look_alikes(spark):
     left = spark.createDataFrame([(1, "Тhе Sea", 0), (1, "Тhе Sea", 0), (2, "The Sea", 0), (3, None, 0), (None, "x", 0), (4, "", 0)], "id long, t string, form int")
     right = spark.createDataFrame([(10, "The Sea"), (11, "Тhе Sea"), (12, "the sea"), (13, ""), (14, None)], "k long, n string")

@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Two or more letters, digits or underscores; spelled out, as \w is ASCII in Java and Unicode elsewhere.
@@ -68,6 +68,11 @@ def space_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
 
 
+def of_request(spark: SparkSession, **columns: Column) -> Row:
+    """Values of columns that are made of literals only, as of one request's strings: the optimiser folds them, no job runs."""
+    return spark.sql("SELECT 1").select(*[c.alias(n) for n, c in columns.items()]).first()
+
+
 def clean_query(query: str | None) -> str:
     """A descriptive query without its leading filler words; at least one word stays. For the one string of a request."""
     text = (query or "").strip()
@@ -171,6 +176,7 @@ def attribute_phrases(year: Column, vote: Column, votes: Column, runtime: Column
         return F.array(*parts) if parts else none
 
     none = F.array().cast("array<string>")
+    # fixed values: the years, votes and minutes at which a phrase begins or ends
     vote, votes = F.coalesce(vote, F.lit(0.0)), F.coalesce(votes, F.lit(0))
     era = F.when(year == 0, none).when(year <= 1929, say("until 1929")).when(year <= 1935, say("1930 to 1935")).when(year <= 1969, say("1936 to 1969")).otherwise(none)
     acclaim = F.when((vote >= 7.8) & (votes >= 300), say("acclaimed")).when(vote >= 7.0, say("good")).when((vote != 0) & (vote <= 4.5) & (votes >= 80), say("bad")).otherwise(none)

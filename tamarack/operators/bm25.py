@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import tokens
+from tamarack.functions.text import of_request, tokens
 from tamarack.runtime import cut
 
 K1, B = 1.5, 0.75
@@ -46,9 +46,9 @@ class Bm25Index:
         return df.withColumn("idf", F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
     def save(self, path: str) -> None:
-        """Write the index as parquet below `path`; postings are sorted by term within files, so that scans skip."""
-        self.rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        """Write the index as parquet below `path`; ranges of terms lie together and in order, so that scans skip."""
+        self.rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         meta = self.rows.sparkSession.createDataFrame([(self.n_docs, self.avgdl, K1, B)], "n_docs long, avgdl double, k1 double, b double")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -63,10 +63,10 @@ class Bm25Index:
 
     def scores(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
         """(id, score) of the documents with one of the distinct query terms at least."""
-        spark = self.rows.sparkSession
-        asked = spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("term"))
-        # a handful of terms: broadcast, as it comes from one request string
-        hit = self.rows.join(F.broadcast(asked.join(self.terms, "term")), "term")
+        asked = sorted(set(of_request(self.rows.sparkSession, terms=tokens(F.lit(query)))["terms"]))
+        wanted = F.col("term").isin(*asked)  # pushed into the scan of a saved index
+        # as many rows as one request string has words: broadcast
+        hit = self.rows.where(wanted).join(F.broadcast(self.terms.where(wanted).select("term", "idf")), "term")
         return hit.groupBy("id").agg(F.sum(self.part(k1, b)).alias("score"))
 
     def batch(self, queries: DataFrame, key: str, text: str, k1: float = K1, b: float = B) -> DataFrame:

@@ -13,11 +13,16 @@ from pyspark.sql import types as T
 
 from tamarack.functions import vectors as vx
 from tamarack.operators.dense import top_products
-from tamarack.runtime import cut
+from tamarack.operators.fusion import with_position
+from tamarack.runtime import cut, small
 
 # Defaults of the factor model and of what is built on it.
 FACTORS, EPOCHS, REGULARISATION, HOLDOUT, NEIGHBOURS, SEED = 50, 20, 0.02, 0.1, 50, 42
 RIDGE, MIN_OVERLAP, BIAS_WEIGHT = 0.1, 2, 0.5
+#: Rounds of alternating least squares; each solves exactly what an epoch of gradient steps only nears.
+ROUNDS = 10
+#: Ratings of one user, about, that one task sums up.
+PART = 20_000
 
 
 def clean_ratings(df: DataFrame, user: str, item: str, rating: str, low: float = 0.5, high: float = 5.0) -> DataFrame:
@@ -40,18 +45,20 @@ def biases(ratings: DataFrame, damping_item: float = 10.0, damping_user: float =
     return mu, bi, bu
 
 
-def train(ratings: DataFrame, factors: int = FACTORS, iterations: int = 10, regularisation: float = 0.1, seed: int = SEED) -> tuple[float, DataFrame, DataFrame]:
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """`df` with whole numbers from 0 without gaps in the order of `key`, as the factor model asks for ids that fit in an int."""
+    return with_position(df, F.asc(key)).withColumn(name, F.when(F.col("position") <= 1 << 31, F.col("position") - 1).otherwise(F.raise_error(F.lit("more ids than an int holds"))).cast("int")).drop("position")
+
+
+def train(ratings: DataFrame, factors: int = FACTORS, iterations: int = ROUNDS, regularisation: float = 0.1, seed: int = SEED) -> tuple[float, DataFrame, DataFrame]:
     """(mean, items (item, qi, bi), users (user, pu, bu)): alternating least squares on what damped biases leave.
 
-    Ids of any integer range are mapped by hash-free joins; ALS keeps its own blocks and spills.
+    Ids of any kind are numbered without gaps first; ALS keeps its own blocks and spills.
     """
     from pyspark.ml.recommendation import ALS
 
     mu, bi, bu = biases(ratings)
-    bi, bu = cut(bi.withColumn("i", F.monotonically_increasing_id())), cut(bu.withColumn("u", F.monotonically_increasing_id()))
-    # ALS wants ids within int: the partition-wise numbers are packed to (partition, row)
-    dense = lambda c: (F.shiftright(c, 33) * 1_000_003 + F.col(c).bitwiseAND((1 << 33) - 1)).cast("int")
-    bi, bu = bi.withColumn("i", dense("i")), bu.withColumn("u", dense("u"))
+    bi, bu = cut(numbered(bi, "item", "i")), cut(numbered(bu, "user", "u"))
     rest = ratings.join(bi, "item").join(bu, "user").select("u", "i", (F.col("rating") - mu - F.col("bi") - F.col("bu")).cast("float").alias("left"))
     model = ALS(rank=factors, maxIter=iterations, regParam=regularisation, userCol="u", itemCol="i", ratingCol="left", seed=seed, coldStartStrategy="nan").fit(cut(rest))
     items = bi.join(model.itemFactors.select(F.col("id").alias("i"), F.col("features").alias("qi")), "i", "left").select("item", "qi", "bi")
@@ -75,47 +82,76 @@ def errors(df: DataFrame, rating: str, predicted: str) -> DataFrame:
     return df.agg(F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def fold_in(known: DataFrame, items: DataFrame, mu: float, ridge: float = RIDGE) -> DataFrame:
+def fold_in(known: DataFrame, items: DataFrame, mu: float, ridge: float = RIDGE, part: int = PART) -> DataFrame:
     """(user, p): the factors of every user that explain the user's ratings best, by ridge regression.
 
-    `known` is (user, item, rating), `items` (item, qi, bi). The normal equations of a user are sums over the ratings, so
-    they are summed before any user is gathered: hot users cost one k x k matrix, not their rows.
+    `known` is (user, item, rating), `items` (item, qi, bi). The normal equations of a user are sums over the ratings. A
+    user's rows lie together, sorted, so a task holds one user at a time and writes the result at once. Users of more
+    than `part` ratings, about, are summed in several parts, so that no task gets all rows of a hot user; only these few
+    users' k x k sums are shuffled again.
     """
     rows = known.join(items.where(F.col("qi").isNotNull()), "item").select("user", vx.as_double(F.col("qi")).alias("q"), (F.col("rating") - mu - F.col("bi")).alias("y"))
-    width = "struct<user: {0}, gram: array<double>, rhs: array<double>>".format(known.schema["user"].dataType.simpleString())
-    schema = T._parse_datatype_string(width)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = known.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
+    hot = cut(counts.select("user", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    rows = rows.join(small(hot), "user", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("q", "y"), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
+    placed = rows.repartition("user", "part").sortWithinPartitions("user", "part")
+    users = T.StructField("user", known.schema["user"].dataType)
+    doubles = T.ArrayType(T.DoubleType())
+
+    def solved(gram: np.ndarray, rhs: np.ndarray) -> list[float]:
+        return np.linalg.solve(gram + ridge * np.eye(len(rhs)), rhs).tolist()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gram, rhs, whole = None, None, None, True
+        out: list[tuple] = []
+
+        def done() -> None:
+            if at is not None:
+                # a whole user is solved here; parts of one are summed up behind
+                out.append((at[0], solved(gram, rhs), None, None) if whole else (at[0], None, gram.ravel().tolist(), rhs.tolist()))
+
+        def batch(kind: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            lists = [pa.array(c, pa.list_(pa.float64())) for c in columns[1:]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *lists], ["user", "p", "gram", "rhs"])
+
+        kind = None
         for b in batches:
             if not b.num_rows:
                 continue
-            q = np.array(b.column("q").to_pylist())
-            y = b.column("y").to_numpy()
-            codes = b.column("user").dictionary_encode()
-            group = codes.indices.to_numpy()
-            order = np.argsort(group, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-            gram, rhs = [], []
-            for part in np.split(order, first[1:]):
-                gram.append((q[part].T @ q[part]).ravel())
-                rhs.append(q[part].T @ y[part])
-            users = codes.dictionary.take(pa.array(group[order][first]))
-            yield pa.RecordBatch.from_arrays([users, pa.array([g.tolist() for g in gram]), pa.array([r.tolist() for r in rhs])], ["user", "gram", "rhs"])
-
-    sums = rows.mapInArrow(partial, schema)
-    add = lambda c: F.aggregate(F.collect_list(c), F.transform(F.first(c), lambda _: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    total = sums.groupBy("user").agg(add("gram").alias("gram"), add("rhs").alias("rhs"))
+            kind = b.column("user").type
+            q, y = np.array(b.column("q").to_pylist()), b.column("y").to_numpy()
+            keys = list(zip(b.column("user").to_pylist(), b.column("part").to_pylist(), strict=True))
+            split = b.column("parts").is_valid().to_pylist()
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                x, v = q[lo:hi], y[lo:hi]
+                if keys[lo] == at:
+                    gram, rhs = gram + x.T @ x, rhs + x.T @ v
+                    continue
+                done()
+                at, gram, rhs, whole = keys[lo], x.T @ x, x.T @ v, not split[lo]
+                if len(out) >= 500:
+                    yield batch(kind)
+        done()
+        if out:
+            yield batch(kind)
+
+    made = cut(placed.mapInArrow(sums, T.StructType([users, *(T.StructField(c, doubles) for c in ("p", "gram", "rhs"))])))
+    # element by element, partial sums first: no list of matrices is gathered
+    parts = made.where("p IS NULL").select("user", F.posexplode(F.concat("gram", "rhs")).alias("pos", "x")).groupBy("user", "pos").agg(F.sum("x").alias("x"))
+    total = parts.groupBy("user").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sums"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for g, r in zip(b["gram"], b["rhs"], strict=True):
-                k = len(r)
-                out.append(np.linalg.solve(np.array(g).reshape(k, k) + ridge * np.eye(k), np.array(r)).tolist())
+            for s in b["sums"]:
+                k = int((np.sqrt(4 * len(s) + 1) - 1) / 2)  # k * k + k numbers
+                out.append(solved(np.array(s[: k * k]).reshape(k, k), np.array(s[k * k :])))
             yield pd.DataFrame({"user": b["user"], "p": out})
 
-    out_schema = T.StructType([T.StructField("user", known.schema["user"].dataType), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    return total.mapInPandas(solve, out_schema)
+    return made.where("p IS NOT NULL").select("user", "p").unionByName(total.mapInPandas(solve, T.StructType([users, T.StructField("p", doubles)])))
 
 
 def predicted(mu: float, bi, q, p):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.runtime import cut
 
-#: Weights of the signals; the lexical one depends on the query's length.
+# Weights of the signals; the lexical one depends on the query's length.
 SYNOPSIS, KEYWORD, PRIOR = 0.6, 0.5, 0.35
 RERANK_POOL, RERANK_BLEND = 300, 0.5
 
@@ -35,6 +35,7 @@ def with_min_max(df: DataFrame, degenerate: float = 0.0, **columns: str) -> Data
     return out.withColumns(new).drop(*stats.columns)
 
 
+# The thresholds and weights of the three functions below.
 def lexical_weight(n_content_words: int) -> float:
     return 0.30 if n_content_words <= 3 else 0.25 if n_content_words <= 6 else 0.20
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from tamarack.operators import linkage as lk
 from tamarack.operators.collaborative import sample
 from tamarack.operators.search import by_entity, facet_filter
 from tamarack.plans.common import FILMS, GENRES, PARTS, PEOPLE, ascii_form, ascii_sql, catalogue, credits, films, fold_sql, genre_bridge, genre_names, keyword_bridge, parts, people
-from tamarack.runtime import shared_dir, table
+from tamarack.runtime import scratch, table
 from tamarack.sources import tables as so
 
 
@@ -22,10 +20,6 @@ def _strings():
     return F.array().cast("array<string>")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- sources
 
 
@@ -59,7 +53,7 @@ def json_catalog(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue written as JSON, read with its schema and normalised."""
     lists = co.name_lists(genre_bridge(spark, d), table(spark, d, "genres"), "genre_id").select(F.col("id"), F.col("names").alias("genres"))
     rows = films(spark, d).select(F.col("tmdb_id").alias("id"), "title", F.col("title").alias("original_title"), "overview", "release_date", "vote_average", "vote_count").join(lists, "id", "left")
-    path = _scratch(spark, "json")
+    path = scratch(spark, "json")
     rows.write.json(path)
     out = so.normalise_json(so.json_catalogue(spark, path))
     return out.select("tmdb_id", "title", "release_date", "release_year", "overview", "vote_average", "vote_count", F.size(F.coalesce("genres", _strings())).alias("n_genres"))
@@ -75,7 +69,7 @@ def ratings_csv(spark: SparkSession, d: str) -> DataFrame:
     """Exports written as CSV, with quotes and a byte order mark, read, parsed and validated."""
     r = table(spark, d, "ratings")
     rows = r.select(F.col("row_id").alias("﻿Row"), F.col("logged_on").alias("Date"), F.concat(F.lit(" "), F.col("name"), F.lit(" ")).alias("Name"), F.col("year").cast("string").alias("Year"), F.col("uri").alias("URI"), F.when(~F.isnan("rating"), F.col("rating").cast("string")).alias("Rating"), F.col("review").alias("Review"))
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return so.parse_ratings(so.ratings_csv(spark, path)).select(F.col("Row").cast("long").alias("row_id"), "name", "year", "rating")
 
@@ -148,7 +142,7 @@ def search_prefetch(spark: SparkSession, d: str) -> DataFrame:
 def remembered_lookups(spark: SparkSession, d: str) -> DataFrame:
     """A lookup table written, added to with old keys kept, and read again."""
     k = films(spark, d).select(F.col("tmdb_id").alias("key"), F.coalesce("vote_count", F.lit(0)).alias("value"))
-    path = _scratch(spark, "lookup")
+    path = scratch(spark, "lookup")
     so.remember(spark, path, k.where("key % 2 = 0"), "key")
     return so.remember(spark, path, k.where("key % 2 = 1 OR key % 4 = 0").withColumn("value", F.col("value") + 1), "key").select("key", "value")
 

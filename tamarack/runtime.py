@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table whose size was counted may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of files, up to which a table whose size was looked up may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -20,43 +23,80 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of this process."""
+    """Folder that all executors share: spark.checkpoint.dir. Only a session that runs in one process may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tamarack-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tamarack-")
+    return _local[context.applicationId]
+
+
+#: Paths to be deleted, innermost scope last; those outside of any scope go when the process ends.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def path_of(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def _forget(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        spark, path = paths.pop()
+        try:
+            fs, p = path_of(spark, path)
+            fs.delete(p, True)
+        except Exception:  # the session may be gone already
+            pass
+
+
+atexit.register(lambda: [_forget(paths) for paths in reversed(_scopes)])
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """What is written for the plans made inside goes when it ends; use their results inside."""
+    _scopes.append([])
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
-        pass
+        yield
+    finally:
+        _forget(_scopes.pop())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes with the scope."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
+    return path
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, gives exact row counts.
 
-    The files go when the process ends. Nothing is kept on an executor.
+    The files go with the scope, or when the process ends. Nothing is kept on an executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is (the planner then shuffles).
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most so many rows and bytes, else as it is (the planner then shuffles).
 
-    Give tables from `cut` or plain scans: counting those reads file footers only.
+    Give tables from `cut` or plain scans: their files' sizes are known, and counting them reads footers only.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if told <= size and df.count() <= rows else df
 
 
 def cores(spark: SparkSession) -> int:

@@ -1,6 +1,6 @@
 """Delimited lines that fail to parse: the valid ones become rows, the others come out with the reason.
 
-Lines of a plain shape are split and judged with built-in expressions. All others go through a minimum-cost parse: a
+Lines of a plain shape, which parse at cost 0, are split and judged with built-in expressions. All others go through a minimum-cost parse: a
 dynamic program over the marks of the line (quotes and delimiters) that may delete or insert quotes, then one over the
 fields that may delete or insert delimiters until the number of columns fits and as many fields as possible are valid.
 A line that parses at cost 0 and whose fields are valid is loaded; for any other the edits state what is wrong.
@@ -137,7 +137,8 @@ def settle_quotes(parts: list[str], delimiter: str) -> tuple[int, list[tuple[str
 
 def settle_delimiters(fields: list[str], layout: Layout) -> tuple[int, list[tuple[str, int]], list[str]]:
     """(cost, edits, fields): the fewest delimiters deleted or inserted that give the layout's number of columns; of
-    these the way with the fewest invalid fields. Deleting joins two fields; inserting adds an empty one."""
+    these the way with the fewest invalid fields, and with the surplus as far behind as it may be. Deleting joins
+    fields, inserting adds an empty one. A joined field holds delimiters, so of the rules only `visible` can hold."""
     want, have = len(layout.columns), len(fields)
     if want == have:
         return 0, [], fields
@@ -149,30 +150,37 @@ def settle_delimiters(fields: list[str], layout: Layout) -> tuple[int, list[tupl
     def bad(k: int, text: str) -> int:
         return sum(c.fails(text) for c in rules.get(k, []))
 
-    # best[j] after k columns: the first j fields are used; the slack j - k never leaves what the count allows
-    best: dict[int, tuple] = {0: (0, None)}
+    # best[j] after k columns, which take the first j fields: (invalid fields, link to the column before, fields taken)
+    best: dict[int, tuple] = {0: (0, None, 0)}
     for k in range(want):
         new: dict[int, tuple] = {}
-        for j, (cost, link) in best.items():
-            widths = range(1, min(spare, have - j - 1) + 2) if have > want else (0, 1)
-            for width in widths:
-                end = j + width
-                if end > have or (have > want and end - (k + 1) > spare) or (have < want and (k + 1) - end > spare):
-                    continue
-                if spare > 64 and width not in (1, spare + 1):  # very many surplus delimiters: joined in one place
-                    continue
-                text = layout.delimiter.join(fields[j:end])
-                total = cost + bad(k, text)
-                if end not in new or total < new[end][0]:
-                    new[end] = (total, (link, width, text, j))
+        joined = sum(not c.visible for c in rules.get(k, []))
+        least = None  # where a column of two fields or more starts best, of the starts so far
+        for end in range(max(0, k + 1 - spare) if have < want else k + 1, min(have, k + 1 + (spare if have > want else 0)) + 1):
+            options = []
+            if have > want:
+                if end - 2 in best and (least is None or best[end - 2][0] < best[least][0]):
+                    least = end - 2
+                if least is not None:
+                    options.append((best[least][0] + joined, least))
+            if end - 1 in best:
+                options.append((best[end - 1][0] + bad(k, fields[end - 1]), end - 1))
+            if have < want and end in best:
+                options.append((best[end][0] + bad(k, ""), end))
+            if options:
+                cost, j = min(options, key=lambda x: x[0])
+                new[end] = (cost, best[j], end - j)
         best = new
-    _, link = best[have]
-    out, edits = [], []
-    while link:
-        link, width, text, j = link
-        out.append(text)
-        edits += [("delete delimiter", j)] * (width - 1) if width else [("insert delimiter", j)]
-    return spare, edits[::-1], out[::-1]
+    widths, link = [], best[have]
+    while link[1]:
+        widths.append(link[2])
+        link = link[1]
+    out, edits, at = [], [], 0
+    for width in reversed(widths):
+        out.append(layout.delimiter.join(fields[at : at + width]))
+        edits += [("delete delimiter", at)] * (width - 1) if width else [("insert delimiter", at)]
+        at += width
+    return spare, edits, out
 
 
 def parse_line(line: str, layout: Layout) -> tuple[str | None, list[str], int, list[str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import countries, year_of
+from tamarack.runtime import path_of
 
 CATALOGUE_JSON = (
     "id LONG, title STRING, original_title STRING, overview STRING, release_date STRING, vote_average DOUBLE, vote_count LONG, genres ARRAY<STRING>, poster_path STRING, backdrop_path STRING"
@@ -74,13 +75,13 @@ def parse_ratings(df: DataFrame) -> DataFrame:
 def remember(spark: SparkSession, path: str, new: DataFrame, key: str) -> DataFrame:
     """A remembered lookup table at `path` with `new` rows added; rows of a key that is known stay as they are.
 
-    Written beside the old files and then swapped by the committer's overwrite of a fresh folder, so readers never see half.
+    The rows go as new files beside the old ones, which are never rewritten. Only a path that does not exist counts as
+    nothing remembered; a table that cannot be read is an error.
     """
-    try:
+    fs, p = path_of(spark, path)
+    fresh = new.dropDuplicates([key])
+    if fs.exists(p):
         old = spark.read.parquet(path)
-    except Exception:  # nothing remembered yet
-        new.dropDuplicates([key]).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    fresh = new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
+        fresh = fresh.join(old.select(key), key, "left_anti").select(*old.columns)
     fresh.write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.runtime import shared_dir
+from tamarack.runtime import scratch
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -29,9 +29,7 @@ def popularity(events: DataFrame, time: str, kind: str, value: str, window: str
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that has arrived and give what it wrote. Append mode: windows that the watermark closed."""
-    import uuid
-
-    base = f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    base = scratch(stream.sparkSession, f"stream-{name}")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
         query.awaitTermination()

@@ -33,7 +33,7 @@ def clean_ratings(df: DataFrame, user: str, item: str, rating: str, low: float =
 
 def sample(df: DataFrame, n: int, seed: int = SEED, *keys: str) -> DataFrame:
     """Exactly n rows (all, if fewer), the same for the same seed: the least hashes of the keys."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), *keys).limit(n)
 
 
 def biases(ratings: DataFrame, damping_item: float = 10.0, damping_user: float = 15.0) -> tuple[float, DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import vectors as vx
-from tamarack.functions.text import decade
+from tamarack.functions.text import decade, with_prefix
 from tamarack.operators.dense import top_products
 from tamarack.operators.fusion import reciprocal_ranks
 
@@ -44,6 +44,18 @@ def with_reviews(tastes: DataFrame, reviews: DataFrame, share: float = REVIEW_SH
     return tastes.join(said, "user", "left").select("user", vx.mix(F.col("taste"), F.col("said"), share).alias("taste"))
 
 
+def review_text(review: Column, family: str = "e5", characters: int = 512) -> Column:
+    """What an encoder reads of a review: its first characters, under the prefix of queries."""
+    return with_prefix(F.substring(review, 1, characters), family, "query")
+
+
+def stacked(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
+    """Two vectors of each key as one, so that one product is the sum of both; where the second lacks, zeros stand for it."""
+    second = b.select(key, F.col(vector).alias("__b"))
+    zeros = F.transform(F.col(vector), lambda _: F.lit(0.0))
+    return a.join(second, key, "left").select(key, F.concat(vx.as_double(F.col(vector)), F.coalesce(vx.as_double(F.col("__b")), zeros)).alias(vector))
+
+
 def _mean(reviews: DataFrame) -> DataFrame:
     parts = reviews.select("user", "weight", F.posexplode(vx.as_double(F.col("vector"))).alias("pos", "x"))
     sums = parts.groupBy("user", "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import fold
+from tamarack.operators.bm25 import Bm25Index
 from tamarack.operators.catalogue import once
-from tamarack.runtime import table
+from tamarack.runtime import scope, scratch, table
 
 QUERY = "a cantora protege o arquivo da estação durante o inverno"
 
@@ -74,6 +75,26 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def keyword_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the themes: the next document's."""
+    return vectors(spark, d).withColumn("id", F.col("id") - 1)
+
+
+_indexes: dict[tuple[str, str, str], Bm25Index] = {}
+
+
+def index_of(spark: SparkSession, d: str, name: str, rebuild: bool = False) -> Bm25Index:
+    """The saved index of the documents' texts, or of the films' overviews or titles: built once in a session, read by every search."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if rebuild or key not in _indexes:
+        source, column, text = {"documents": (table(spark, d, "documents"), "doc_id", "text"), "overviews": (films(spark, d), "tmdb_id", "overview"), "titles": (films(spark, d), "tmdb_id", "title")}[name]
+        path = scratch(spark, f"index-{name}")
+        with scope():
+            Bm25Index.build(source, column, text).save(path)
+        _indexes[key] = Bm25Index.load(spark, path)
+    return _indexes[key]
+
+
 def ratings(spark: SparkSession, d: str) -> DataFrame:
     """(user, item, rating): the mean of the usable ratings of every user and film."""
     from tamarack.operators.collaborative import clean_ratings
@@ -89,14 +110,21 @@ def fold_sql(column: str) -> str:
     return rf"regexp_replace(strip_accents(lower({column})), '\p{{M}}+', '', 'g')"
 
 
-def ascii_form(text):
-    """Accents folded, any other character beyond ASCII as one question mark: edit distances are then the same in every
-    engine, counting characters or bytes."""
-    return F.regexp_replace(fold(F.lower(text)), "[^ -~]", "?")
+def plain_form(text):
+    """Lower case, accents folded; every other character stays what it is."""
+    return fold(F.lower(text))
+
+
+def edits_sql(a: str, b: str) -> str:
+    """Edit distance in characters: the engine's own counts bytes, so beyond ASCII each character of the two is given
+    a sign of one byte first."""
+    signs = lambda x: f"coalesce(list_aggregate([chr(33 + CAST(list_position(list_distinct(string_split({a} || {b}, '')), c) AS INTEGER)) FOR c IN string_split({x}, '')], 'string_agg', ''), '')"
+    return f"(CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE levenshtein({signs(a)}, {signs(b)}) END)"
 
 
-def ascii_sql(column: str) -> str:
-    return f"regexp_replace({fold_sql(column)}, '[^ -~]', '?', 'g')"
+def alike_sql(a: str, b: str) -> str:
+    """1 - edit distance / longer length."""
+    return f"(1 - {edits_sql(a, b)}::DOUBLE / greatest(length({a}), length({b}), 1))"
 
 
 def tokens_sql(column: str) -> str:

@@ -11,7 +11,7 @@ from tamarack.operators import catalogue as co
 from tamarack.operators import linkage as lk
 from tamarack.operators.collaborative import sample
 from tamarack.operators.search import by_entity, facet_filter
-from tamarack.plans.common import FILMS, GENRES, PARTS, PEOPLE, ascii_form, ascii_sql, catalogue, credits, films, fold_sql, genre_bridge, genre_names, keyword_bridge, parts, people
+from tamarack.plans.common import FILMS, GENRES, PARTS, PEOPLE, alike_sql, catalogue, credits, films, fold_sql, genre_bridge, genre_names, keyword_bridge, parts, people, plain_form
 from tamarack.runtime import scratch, table
 from tamarack.sources import tables as so
 
@@ -109,13 +109,7 @@ _POSTERS = "posters AS (SELECT tmdb_id AS id, CASE WHEN tmdb_id % 5 <> 0 THEN '/
 
 
 def poster_attach(spark: SparkSession, d: str) -> DataFrame:
-    """Films with a poster, or a placeholder that shows the title."""
-    latin = films(spark, d).select(F.col("tmdb_id").alias("id"), "title").where(F.col("title").rlike("^[A-Za-z0-9 /:,-]*$"))
-    return co.with_posters(latin, _posters(spark, d)).select(F.col("id").alias("tmdb_id"), "poster")
-
-
-def poster_attach_all(spark: SparkSession, d: str) -> DataFrame:
-    """poster_attach of every film, whatever its title is written in."""
+    """Every film with a poster, or a placeholder that shows the title."""
     every = films(spark, d).select(F.col("tmdb_id").alias("id"), "title")
     return co.with_posters(every, _posters(spark, d)).select(F.col("id").alias("tmdb_id"), "poster")
 
@@ -134,8 +128,8 @@ def poster_prefetch(spark: SparkSession, d: str) -> DataFrame:
 
 def search_prefetch(spark: SparkSession, d: str) -> DataFrame:
     """Search keys of exports that the films' own keys do not answer."""
-    asked = table(spark, d, "ratings").select(lk.search_key(ascii_form(F.col("name")), F.col("year")).alias("key"))
-    known = films(spark, d).select(lk.search_key(ascii_form(F.col("title")), F.col("release_year")).alias("key"))
+    asked = table(spark, d, "ratings").select(lk.search_key(plain_form(F.col("name")), F.col("year")).alias("key"))
+    known = films(spark, d).select(lk.search_key(plain_form(F.col("title")), F.col("release_year")).alias("key"))
     return lk.missing_keys(asked, known.where("key IS NOT NULL"), "key")
 
 
@@ -267,7 +261,7 @@ def fuzzy_person(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_keyword(spark: SparkSession, d: str) -> DataFrame:
     """Films of the keywords most like a mistyped one: scores add up."""
-    names = table(spark, d, "keywords").where("name IS NOT NULL").select(F.col("keyword_id").alias("entity"), ascii_form(F.trim("name")).alias("name"))
+    names = table(spark, d, "keywords").where("name IS NOT NULL").select(F.col("keyword_id").alias("entity"), plain_form(F.trim("name")).alias("name"))
     bridge = keyword_bridge(spark, d).dropna().distinct().select(F.col("keyword_id").alias("entity"), "id")
     found = by_entity(names, bridge, catalogue(spark, d), "wintr journey", 10, 0.6, "sum", edit_similarity)
     return found.select(F.col("id").alias("tmdb_id"), F.round("score", 6).alias("score"))
@@ -311,24 +305,12 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of titles: without leading article, and with collapsed blanks."""
-    return films(spark, d).where(F.col("title").rlike("^[ -~]*$")).select("tmdb_id", tx.name_key(F.col("title")).alias("name_key"), tx.space_key(F.col("title")).alias("space_key"))
-
-
-def name_keys_all(spark: SparkSession, d: str) -> DataFrame:
-    """name_keys of every film, whatever its title is written in."""
+    """Keys of every title: without leading article, and with collapsed blanks."""
     return films(spark, d).select("tmdb_id", tx.name_key(F.col("title")).alias("name_key"), tx.space_key(F.col("title")).alias("space_key"))
 
 
 def clean_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Overviews as queries: the leading filler words gone."""
-    short = F.array_join(F.slice(F.split(F.trim("overview"), r"\s+"), 1, 12), " ")
-    q = F.concat(F.lit("Aquele filme da "), short)
-    return films(spark, d).where(F.col("overview").rlike("^[A-Za-z ,.]+$")).select("tmdb_id", tx.clean_query_column(q).alias("cleaned"))
-
-
-def clean_queries_all(spark: SparkSession, d: str) -> DataFrame:
-    """clean_queries of every film and the whole of its overview; without one, what is left of the leading words."""
+    """The whole overview of every film as a query: the leading filler words gone; without an overview, what is left of them."""
     q = F.concat(F.lit("Aquele filme da "), F.coalesce("overview", F.lit("")))
     return films(spark, d).select("tmdb_id", tx.clean_query_column(q).alias("cleaned"))
 
@@ -339,10 +321,12 @@ def random_popular(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The first film of a title: equal without case first, else one that holds the text."""
+    """The first film of a title: equal without case first, else one that holds the text. Asked for the title of the film of most votes, in capitals."""
+    f = films(spark, d).where("title IS NOT NULL")
+    asked = f.orderBy(F.desc_nulls_last("vote_count"), "tmdb_id").limit(1).select(F.lower(F.upper("title")).alias("asked"))
     low = F.lower("title")
-    tier = F.when(low == "geficano", 0).when(F.contains(low, F.lit("geficano")), 1)
-    return films(spark, d).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "tmdb_id").limit(1).select("tmdb_id", "title")
+    tier = F.when(low == F.col("asked"), 0).when(F.contains(low, F.col("asked")), 1)
+    return f.crossJoin(F.broadcast(asked)).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "tmdb_id").limit(1).select("tmdb_id", "title")
 
 
 def keyword_facets(spark: SparkSession, d: str) -> DataFrame:
@@ -362,10 +346,10 @@ def latest_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sql_scan, first_row, scalar_exists, point_lookup, catalog_scan, json_catalog, genre_arrays, ratings_csv, ratings_sample, crawl_filter, crawl_dedup, title_map, poster_attach, poster_attach_all, poster_by_title,
+    sql_scan, first_row, scalar_exists, point_lookup, catalog_scan, json_catalog, genre_arrays, ratings_csv, ratings_sample, crawl_filter, crawl_dedup, title_map, poster_attach, poster_by_title,
     poster_prefetch, search_prefetch, remembered_lookups, result_projection, facet_filter_pre, facet_filter_post, popular_page, person_order, title_filter, titles_sorted, with_genres, chosen_ids,
     genre_list, film_genres, film_keywords, facet_lists, film_people, people_documents, person_films, director_and_actor, role_exists, suggest_people, fuzzy_person, fuzzy_keyword, genre_overlap,
-    attribute_phrases, keyword_documents, countries_dates, decade_counts, passages, name_keys, name_keys_all, clean_queries, clean_queries_all, random_popular, title_lookup, keyword_facets, latest_ratings,
+    attribute_phrases, keyword_documents, countries_dates, decade_counts, passages, name_keys, clean_queries, random_popular, title_lookup, keyword_facets, latest_ratings,
 )}
 
 _LISTS = """gl AS (SELECT b.id, list(coalesce(g.name, '') ORDER BY coalesce(g.name, '')) AS names FROM (SELECT DISTINCT tmdb_id AS id, genre_id FROM movie_genres WHERE tmdb_id IS NOT NULL) b LEFT JOIN genres g ON g.genre_id = b.genre_id GROUP BY 1),
@@ -391,10 +375,10 @@ ORACLE = {
     "crawl_filter": f"WITH {FILMS}, {GENRES} SELECT tmdb_id, popularity FROM films WHERE tmdb_id IN (SELECT id FROM mg WHERE name = 'Drama') AND vote_count >= 50 AND vote_average >= 6.0 ORDER BY popularity DESC NULLS LAST, tmdb_id LIMIT 20",
     "crawl_dedup": f"WITH {FILMS}, b AS (SELECT tmdb_id, min(genre_id) AS genre_id FROM movie_genres WHERE tmdb_id IS NOT NULL AND genre_id IS NOT NULL GROUP BY 1) SELECT b.tmdb_id, b.genre_id, CASE WHEN f.tmdb_id IS NULL THEN NULL ELSE coalesce(title, 'Sem título') END AS title, CASE WHEN f.tmdb_id IS NULL THEN NULL ELSE coalesce(vote_count, 0) END AS vote_count FROM b LEFT JOIN films f ON f.tmdb_id = b.tmdb_id",
     "title_map": f"WITH {FILMS} SELECT tmdb_id, title FROM films",
-    "poster_attach": f"""WITH {FILMS}, {_POSTERS} SELECT tmdb_id, coalesce('https://image.tmdb.org/t/p/w342' || nullif(poster_path, ''), 'https://placehold.co/300x450?text=' || replace(replace(replace(substr(title, 1, 40), ' ', '%20'), ':', '%3A'), ',', '%2C')) AS poster FROM films LEFT JOIN posters ON posters.id = tmdb_id WHERE regexp_full_match(title, '[A-Za-z0-9 /:,-]*')""",
+    "poster_attach": f"""WITH {FILMS}, {_POSTERS} SELECT tmdb_id, coalesce('https://image.tmdb.org/t/p/w342' || nullif(poster_path, ''), 'https://placehold.co/300x450?text=' || replace(url_encode(substr(coalesce(title, ''), 1, 40)), '%2F', '/')) AS poster FROM films LEFT JOIN posters ON posters.id = tmdb_id""",
     "poster_by_title": f"WITH {FILMS}, {_POSTERS}, t AS (SELECT title, min(tmdb_id) AS id FROM films WHERE title IS NOT NULL GROUP BY 1) SELECT title, nullif(poster_path, '') AS poster_path FROM t LEFT JOIN posters USING (id)",
     "poster_prefetch": f"WITH {FILMS}, {_POSTERS} SELECT DISTINCT movie_id AS tmdb_id FROM user_ratings WHERE movie_id > 0 AND movie_id NOT IN (SELECT id FROM posters)",
-    "search_prefetch": f"""WITH {FILMS}, a AS (SELECT DISTINCT regexp_replace(lower(trim({ascii_sql('name')})), '\\s+', ' ', 'g') || '|' || coalesce(CAST(nullif(year, 0) AS VARCHAR), '') AS key FROM ratings), k AS (SELECT regexp_replace(lower(trim({ascii_sql('title')})), '\\s+', ' ', 'g') || '|' || coalesce(CAST(nullif(release_year, 0) AS VARCHAR), '') AS key FROM films)
+    "search_prefetch": f"""WITH {FILMS}, a AS (SELECT DISTINCT regexp_replace(trim({fold_sql('name')}, ' '), '\\s+', ' ', 'g') || '|' || coalesce(CAST(nullif(year, 0) AS VARCHAR), '') AS key FROM ratings), k AS (SELECT regexp_replace(trim({fold_sql('title')}, ' '), '\\s+', ' ', 'g') || '|' || coalesce(CAST(nullif(release_year, 0) AS VARCHAR), '') AS key FROM films)
         SELECT key FROM a WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.key = a.key)""",
     "remembered_lookups": f"WITH {FILMS} SELECT tmdb_id AS key, coalesce(vote_count, 0) + (tmdb_id % 2) AS value FROM films",
     "result_projection": f"WITH {FILMS} SELECT tmdb_id, title, release_year, original_language, vote_average, substr(coalesce(overview, ''), 1, 240) AS overview, round(popularity, 4) AS score FROM films",
@@ -420,7 +404,7 @@ ORACLE = {
     "suggest_people": f"WITH {PEOPLE} SELECT name, count(*) AS credits, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM credits JOIN people USING (person) WHERE contains(lower(name), '0001') GROUP BY person, name ORDER BY count(*) DESC, person LIMIT 10",
     "fuzzy_person": f"""WITH {PEOPLE}, {PARTS}, f AS (SELECT person, 1 - levenshtein('Suplier#00000012', name)::DOUBLE / greatest(length(name), 16) AS s FROM people), e AS (SELECT * FROM f WHERE s >= 0.8 ORDER BY s DESC, person LIMIT 15),
         m AS (SELECT id, max(s) AS score FROM e JOIN credits USING (person) GROUP BY 1) SELECT m.id, round(score, 6) AS score FROM m LEFT JOIN parts ON parts.id = m.id ORDER BY score DESC, coalesce(popularity, 0) DESC, m.id LIMIT 40""",
-    "fuzzy_keyword": f"""WITH {FILMS}, f AS (SELECT keyword_id, {ascii_sql('trim(name)')} AS n FROM keywords WHERE name IS NOT NULL), g AS (SELECT keyword_id, 1 - levenshtein('wintr journey', n)::DOUBLE / greatest(length(n), 13) AS s FROM f), e AS (SELECT * FROM g WHERE s >= 0.6 ORDER BY s DESC, keyword_id LIMIT 15),
+    "fuzzy_keyword": f"""WITH {FILMS}, f AS (SELECT keyword_id, {fold_sql("trim(name, ' ')")} AS n FROM keywords WHERE name IS NOT NULL), g AS (SELECT keyword_id, {alike_sql("'wintr journey'", 'n')} AS s FROM f), e AS (SELECT * FROM g WHERE s >= 0.6 ORDER BY s DESC, keyword_id LIMIT 15),
         b AS (SELECT DISTINCT tmdb_id AS id, keyword_id FROM movie_keywords WHERE tmdb_id IS NOT NULL), m AS (SELECT id, sum(s) AS score FROM e JOIN b USING (keyword_id) GROUP BY 1)
         SELECT m.id AS tmdb_id, round(score, 6) AS score FROM m LEFT JOIN films ON films.tmdb_id = m.id ORDER BY m.score DESC, coalesce(popularity, 0) DESC, m.id LIMIT 40""",
     "genre_overlap": f"WITH {GENRES}, o AS (SELECT id, count(DISTINCT name) AS common FROM mg WHERE id <> 1000 AND name IN (SELECT name FROM mg WHERE id = 1000) GROUP BY 1) SELECT id AS tmdb_id, common, round(7.0 + common / 10.0::DOUBLE, 6) AS score FROM o ORDER BY common DESC, id LIMIT 20",
@@ -430,11 +414,13 @@ ORACLE = {
     "countries_dates": f"WITH {FILMS} SELECT tmdb_id, [x FOR x IN coalesce(string_split(origin_countries, '|'), []) IF x <> ''] AS countries, TRY_CAST(substr(release_date, 1, 4) AS INTEGER) AS date_year, CAST(release_year // 10 * 10 AS VARCHAR) || 's' AS decade FROM films",
     "decade_counts": f"WITH {FILMS} SELECT CAST(release_year // 10 * 10 AS INTEGER) AS decade, count(*) AS n, round(avg(vote_average), 4) AS avg_vote FROM films WHERE release_year IS NOT NULL GROUP BY 1",
     "passages": f"WITH {FILMS}, {_LISTS} SELECT tmdb_id, 'passage: ' || coalesce(nullif(trim(overview), ''), trim(coalesce(title, '') || ' ' || array_to_string(coalesce(kl.names, [])[1:10], ' '))) AS passage FROM films LEFT JOIN kl ON kl.id = tmdb_id",
-    "name_keys": rf"WITH {FILMS} SELECT tmdb_id, regexp_replace(regexp_replace(trim(lower(title)), '\s+', ' ', 'g'), '^(?:o|a|os|as|um|uma|uns|umas)(?: |$)', '') AS name_key, regexp_replace(lower(trim(title)), '\s+', ' ', 'g') AS space_key FROM films WHERE regexp_full_match(title, '[ -~]*')",
-    "clean_queries": rf"""WITH {FILMS}, x AS (SELECT tmdb_id, list_concat(['Aquele', 'filme', 'da'], regexp_split_to_array(trim(overview), '\s+')[1:12]) AS w FROM films WHERE regexp_full_match(overview, '[A-Za-z ,.]+')),
-        y AS (SELECT tmdb_id, w, list_position([lower(regexp_replace(t, '^[?¿!.,;:]+|[?¿!.,;:]+$', '', 'g')) NOT IN ({_STOP}) FOR t IN w], true) AS f FROM x)
-        SELECT tmdb_id, regexp_replace(array_to_string(w[coalesce(nullif(f, 0), len(w)):], ' '), '^[ ?¿!.,;:]+|[ ?¿!.,;:]+$', '', 'g') AS cleaned FROM y""",
-    "title_lookup": f"WITH {FILMS} SELECT tmdb_id, title FROM films WHERE contains(lower(title), 'geficano') ORDER BY (lower(title) <> 'geficano'), tmdb_id LIMIT 1",
+    "name_keys": rf"WITH {FILMS} SELECT tmdb_id, regexp_replace(regexp_replace(trim(lower(coalesce(title, '')), ' '), '\s+', ' ', 'g'), '^(?:o|a|os|as|um|uma|uns|umas)(?: |$)', '') AS name_key, regexp_replace(lower(trim(title, ' ')), '\s+', ' ', 'g') AS space_key FROM films",
+    "clean_queries": rf"""WITH {FILMS}, x AS (SELECT tmdb_id, trim('Aquele filme da ' || coalesce(overview, ''), ' ') AS t FROM films), z AS (SELECT tmdb_id, t, regexp_split_to_array(t, '\s+') AS w FROM x),
+        y AS (SELECT tmdb_id, t, w, list_position([{fold_sql("regexp_replace(t, '^[?¿!.,;:]+|[?¿!.,;:]+$', '', 'g')")} NOT IN ({_STOP}) FOR t IN w], true) AS f FROM z),
+        c AS (SELECT tmdb_id, t, regexp_replace(array_to_string(w[coalesce(nullif(f, 0), len(w)):], ' '), '^[ ?¿!.,;:]+|[ ?¿!.,;:]+$', '', 'g') AS cleaned FROM y) SELECT tmdb_id, CASE WHEN cleaned <> '' THEN cleaned ELSE t END AS cleaned FROM c""",
+    "title_lookup": f"WITH {FILMS}, q AS (SELECT lower(upper(title)) AS asked FROM films WHERE title IS NOT NULL ORDER BY vote_count DESC NULLS LAST, tmdb_id LIMIT 1) SELECT tmdb_id, title FROM films, q WHERE contains(lower(title), asked) ORDER BY (lower(title) <> asked), tmdb_id LIMIT 1",
+    "ratings_sample": "SELECT id, user_id, movie_id, rating FROM user_ratings ORDER BY md5(concat_ws('|', id, 42)), id LIMIT 500",
+    "random_popular": f"WITH {FILMS} SELECT tmdb_id, coalesce(vote_average, 7.5) AS score FROM films ORDER BY md5(concat_ws('|', tmdb_id, 7)), tmdb_id LIMIT 30",
     "keyword_facets": "WITH k AS (SELECT keyword_id, lower(trim(name)) AS name FROM keywords WHERE name IS NOT NULL), b AS (SELECT DISTINCT tmdb_id AS id, name FROM movie_keywords JOIN k USING (keyword_id) WHERE tmdb_id IS NOT NULL) SELECT name, count(*) AS films, round(count(*)::DOUBLE / (SELECT count(DISTINCT id) FROM b), 6) AS share FROM b GROUP BY 1 ORDER BY films DESC, name LIMIT 50",
     "latest_ratings": "SELECT user_id, movie_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, movie_id ORDER BY rated_at DESC NULLS LAST, id DESC) AS rn FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL) WHERE rn = 1",
 }

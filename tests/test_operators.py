@@ -1,9 +1,14 @@
 """Sources, BM25, facets, linkage, collaborative filtering, profiles, evaluation, search and streams."""
 
+import os
+import random
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack import runtime
 from tamarack.functions.similarity import edit_similarity
 from tamarack.operators import catalogue as co
 from tamarack.operators import collaborative as cf
@@ -15,7 +20,7 @@ from tamarack.operators.dense import top_products
 from tamarack.operators.search import SearchEngine, facet_filter
 from tamarack.plans.imports import RATINGS_EXPORT
 from tamarack.sources import tables as so
-from tamarack.sources.malformed import parse_line, read_lines
+from tamarack.sources.malformed import parse_line, read_lines, settle_delimiters
 from tamarack.streaming import popularity as sp
 
 DOCS = [(1, "trem azul trem"), (2, "mar azul"), (3, ""), (4, None), (5, "avó AVÓ avo")]
@@ -229,3 +234,77 @@ def test_stream_windows(spark, tmp_path):
     assert sorted((r["kind"], r["n"], r["total"]) for r in every) == [("click", 1, 4.0), ("view", 2, 3.0)]
     closed = sp.run_once(sp.popularity(s, "ts", "kind", "value"), "u").collect()
     assert [(r["kind"], r["n"]) for r in closed] == [("view", 2)]
+
+
+def test_many_surplus_delimiters_are_split_over_two_fields():
+    """70 surplus delimiters in Name and Review: the program finds the places where year and rating fit."""
+    name, review = ",".join(f"n{k}" for k in range(41)), ",".join(f"r{k}" for k in range(31))
+    reason, fields, cost, edits = parse_line(f"2020,{name},1999,u,3.5,{review}", RATINGS_EXPORT)
+    assert (reason, cost, len(edits)) == ("columns", 70, 70) and fields == ["2020", name, "1999", "u", "3.5", review]
+    # by trying every way on short lines
+    rng = random.Random(3)
+    for _ in range(300):
+        given = [rng.choice(["", "x", "1999", "3.5", "7", " "]) for _ in range(rng.randint(1, 9))]
+        want = len(RATINGS_EXPORT.columns)
+        cost, _, got = settle_delimiters(given, RATINGS_EXPORT)
+        bad = lambda fs: sum(c.fails(fs[c.column]) for c in RATINGS_EXPORT.checks)
+        if len(given) > want:
+            ways = [[",".join(given[a:b]) for a, b in zip((0, *cuts), (*cuts, len(given)), strict=True)] for cuts in combinations(range(1, len(given)), want - 1)]
+        else:
+            ways = [[given[places.index(k)] if k in places else "" for k in range(want)] for places in combinations(range(want), len(given))]
+        assert cost == abs(len(given) - want) and bad(got) == min(map(bad, ways)), given
+
+
+def test_both_ways_of_reading_lines_agree(spark):
+    lines = ["2020,A,1999,u,3.5,ok", "2020,,1999,u,3.5,ok", "2020,A,199,u,3.5,", "2020,A,,u,7,", '2020,"A, B",1999,u,3.5,""', "2020,A,1999,u,0.3,x", "2020,\u200b,1999,u,3,x", "2020,A, 1999 ,u, 3 ,x"]
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+    got = {r["key"]: (r["reason"], r["fields"]) for r in read_lines(df.withColumnRenamed("k", "key"), "key", "line", RATINGS_EXPORT).collect()}
+    assert got == {k: (parse_line(x, RATINGS_EXPORT)[0], parse_line(x, RATINGS_EXPORT)[1]) for k, x in enumerate(lines)}
+
+
+def test_ids_are_numbered_without_gaps(spark):
+    keys = spark.createDataFrame([(1 << 40,), (-5,), (7,), (1_000_003,)], "item long").repartition(3)
+    assert [r["i"] for r in cf.numbered(keys, "item", "i").orderBy("item").collect()] == [0, 1, 2, 3]
+
+
+def test_a_lookup_that_cannot_be_read_raises(spark, tmp_path):
+    path = tmp_path / "lookup"
+    path.mkdir()
+    (path / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):  # noqa: B017
+        so.remember(spark, str(path), spark.createDataFrame([(1, "a")], "k int, v string"), "k").collect()
+    assert (path / "part-0.parquet").read_bytes() == b"not a table"
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session)
+    with runtime.scope():
+        df = runtime.cut(spark.range(3))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_hot_users_are_folded_in_by_parts(spark):
+    rng = np.random.default_rng(0)
+    items = [(k, rng.normal(size=4).tolist(), float(rng.normal())) for k in range(80)]
+    known = [(u, k, float(rng.integers(1, 6))) for u in range(6) for k in range(80) if u == 0 or rng.random() < 0.2]
+    frames = spark.createDataFrame(known, "user long, item long, rating double"), spark.createDataFrame(items, "item long, qi array<double>, bi double")
+    got = {r["user"]: np.array(r["p"]) for r in cf.fold_in(*frames, 3.5, part=15).collect()}
+    q, b = np.array([x[1] for x in items]), np.array([x[2] for x in items])
+    for u in range(6):
+        mine = [(k, r) for v, k, r in known if v == u]
+        x = q[[k for k, _ in mine]]
+        want = np.linalg.solve(x.T @ x + cf.RIDGE * np.eye(4), x.T @ np.array([r - 3.5 - b[k] for k, r in mine]))
+        assert np.allclose(got[u], want)
+    assert cf.fold_in(frames[0].limit(0), frames[1], 3.5).count() == 0

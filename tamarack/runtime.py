@@ -99,6 +99,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if told <= size and df.count() <= rows else df
 
 
+def salted_pairs(a: DataFrame, b: DataFrame, key: str, spread: str, part: int = 2000) -> DataFrame:
+    """Inner join of `a` and `b` on `key`, with the keys of which `b` has more than `part` rows met in several tasks.
+
+    Rows of such a key on the side of `b` are dealt out by the hash of `spread`, a column of `b`, over so many parts that
+    each holds `part` about; the rows of `a` go to every part. Keys are counted with partial sums first.
+    """
+    hot = cut(b.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part).select(key, F.ceil(F.col("__n") / part).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return a.join(b, key)
+    dealt = b.join(small(hot), key, "left").withColumn("__salt", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int")).otherwise(0)).drop("__parts")
+    every = a.join(small(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return every.join(dealt, [key, "__salt"]).drop("__salt")
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

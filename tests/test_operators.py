@@ -308,3 +308,10 @@ def test_hot_users_are_folded_in_by_parts(spark):
         want = np.linalg.solve(x.T @ x + cf.RIDGE * np.eye(4), x.T @ np.array([r - 3.5 - b[k] for k, r in mine]))
         assert np.allclose(got[u], want)
     assert cf.fold_in(frames[0].limit(0), frames[1], 3.5).count() == 0
+
+
+def test_pairs_of_hot_keys(spark):
+    a = spark.createDataFrame([(k % 4, k) for k in range(40)] + [(None, 1)], "key int, a int")
+    b = spark.createDataFrame([(0 if k % 3 else k % 5, k) for k in range(60)] + [(None, 2)], "key int, b int")
+    rows = lambda df: sorted(tuple(r) for r in df.select("key", "a", "b").collect())
+    assert rows(runtime.salted_pairs(a, b, "key", "b", 3)) == rows(a.join(b, "key")) == rows(runtime.salted_pairs(a, b, "key", "b"))

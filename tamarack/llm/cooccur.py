@@ -1,8 +1,8 @@
 """Items that appear together: pair counts over baskets, with lift and conviction.
 
 Baskets are deduplicated, stripped of items that cannot reach a threshold, and collapsed: equal item arrays become
-one array with a weight, so pairs are enumerated once per distinct basket. Every array is ordered from the rarest to
-the most frequent item and each pair belongs to its rarer item, so a very frequent item owns few pairs. The items are
+one array with a weight, so pairs are enumerated once per distinct basket. Items are numbered from the rarest to the
+most frequent one, so an array is one of small sorted numbers, and each pair belongs to its rarer item, so a very frequent item owns few pairs. The items are
 spread over blocks; a block gets of each basket only the part from its first own item on, counts its pairs in flat
 arrays with numpy, and lets only supported pairs out. No pair is shuffled before it is counted.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.fusion import with_position
 from tamarack.runtime import cores, cut, small
 
 #: Pairs with repeats that one block counts; sets how many blocks there are.
@@ -63,15 +64,6 @@ def _spread(blocks: int):
     return run
 
 
-def _merge(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b, w = a[order], b[order], w[order]
-    if not len(a):
-        return a, b, w
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[first], b[first], np.add.reduceat(w, first)
-
-
 def _count(blocks: int, least: int):
     """Pairs of a block's own items with the items after them, summed over (block, items, weight); those with `least` baskets."""
 
@@ -93,16 +85,13 @@ def _count(blocks: int, least: int):
 
     def compact(parts):
         a, b, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        span = int(high.max()) - int(min(low.min(), 0)) + 1 if len(low) else 1
-        if low.size and low.min() >= 0 and span < (1 << 31):  # one machine word holds both ids
-            code = (low << np.int64(31)) | high
-            order = np.argsort(code, kind="stable")
-            code, w = code[order], w[order]
-            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            code = code[first]
-            return code >> np.int64(31), code & np.int64((1 << 31) - 1), np.add.reduceat(w, first)
-        return _merge(low, high, w)
+        # numbers fit in 31 bits, so one machine word holds both; the rarer item of a pair has the lower one
+        code = (a.astype(np.int64) << np.int64(31)) | b.astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        code, w = code[order], w[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        code = code[first]
+        return code >> np.int64(31), code & np.int64((1 << 31) - 1), np.add.reduceat(w, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one block per task; were there more, a pair would still lie in one of them, so one set of counts serves all
@@ -143,19 +132,18 @@ def pairs_together(df: DataFrame, basket: str, item: str, min_together: int = 1,
     counts = d.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     if min_lift > 0:
         counts = counts.where(F.col("n") * F.lit(float(min_lift)) <= F.lit(float(total)))
-    counts = cut(counts)
-    kept = d.join(small(counts), "i")
-    # rarest first; the item breaks ties
-    items = F.transform(F.sort_array(F.collect_list(F.struct("n", "i"))), lambda x: x["i"])
-    baskets = kept.groupBy("u").agg(items.alias("items")).where(F.size("items") > 1)
+    # numbered rarest first; the item breaks ties
+    counts = cut(with_position(counts, F.asc("n"), F.asc("i")).select("i", "n", (F.col("position") - 1).cast("int").alias("k")))
+    kept = d.join(small(counts.select("i", "k")), "i")
+    baskets = kept.groupBy("u").agg(F.sort_array(F.collect_list("k")).alias("items")).where(F.size("items") > 1)
     weighted = cut(baskets.groupBy("items").agg(F.count(F.lit(1)).alias("weight")))
     work = weighted.agg(F.sum(F.size("items").cast("double") * (F.size("items") - 1) / 2)).first()[0] or 0.0
     blocks = int(max(2 * cores(df.sparkSession), -(-work // PAIRS_PER_BLOCK)))
-    spread = weighted.mapInArrow(_spread(blocks), "block int, items array<long>, weight long")
+    spread = weighted.mapInArrow(_spread(blocks), "block int, items array<int>, weight long")
     found = spread.repartitionById(blocks, "block").mapInArrow(_count(blocks, least), "a long, b long, n long")
-    n_a = counts.select(F.col("i").alias("a"), F.col("n").alias("n_a"))
-    n_b = counts.select(F.col("i").alias("b"), F.col("n").alias("n_b"))
-    out = found.join(small(n_a), "a").join(small(n_b), "b").withColumn("n_baskets", F.lit(total).cast("long"))
+    side = lambda c: counts.select(F.col("k").cast("long").alias(c), F.struct("i", "n").alias(f"x{c}"))
+    both = found.join(small(side("a")), "a").join(small(side("b")), "b").select("n", F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y"))
+    out = both.select("n", F.col("x.i").alias("a"), F.col("x.n").alias("n_a"), F.col("y.i").alias("b"), F.col("y.n").alias("n_b"), F.lit(total).cast("long").alias("n_baskets"))
     # the ratio of whole numbers is compared, so a lift of exactly the threshold is kept
     exact = F.col("n").cast("double") * F.col("n_baskets") >= F.lit(float(min_lift)) * F.col("n_a").cast("double") * F.col("n_b")
     lift = F.col("n").cast("double") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))

@@ -13,7 +13,7 @@ from tamarack.llm.match import match_entities
 from tamarack.llm.mojibake import garbled
 from tamarack.llm.packing import fill_containers
 from tamarack.llm.reading import reading_levels
-from tamarack.llm.setjoin import similar_sets
+from tamarack.llm.setjoin import similar_links, similar_sets
 from tamarack.llm.skeleton import look_alikes
 from tamarack.llm.topn import top_n
 from tamarack.runtime import table
@@ -23,14 +23,24 @@ TOKENIZERS = os.environ.get("TAMARACK_TOKENIZERS", "/opt/tokenizers")
 CAPACITY = 2048
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Films whose genres and keywords are nearly the same set."""
+def _facets(spark: SparkSession, d: str) -> DataFrame:
+    """(tmdb_id, v): genres and keywords of films, of which equal numbers are two values."""
     genres = table(spark, d, "movie_genres").select("tmdb_id", (F.col("genre_id").cast("long") * 2).alias("v"))
     keywords = table(spark, d, "movie_keywords").select("tmdb_id", (F.col("keyword_id").cast("long") * 2 + 1).alias("v"))
-    pairs = similar_sets(genres.unionByName(keywords), "tmdb_id", "v", threshold=0.6, min_size=6)
+    return genres.unionByName(keywords)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Films whose genres and keywords are nearly the same set."""
+    pairs = similar_sets(_facets(spark, d), "tmdb_id", "v", threshold=0.6, min_size=6)
     return pairs.select(F.col("id_a").alias("tmdb_id_a"), F.col("id_b").alias("tmdb_id_b"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The class of equal sets that each film is in, and the number of films whose set is nearly the same."""
+    return similar_links(_facets(spark, d), "tmdb_id", "v", threshold=0.6, min_size=6).withColumnRenamed("id", "tmdb_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The five best rated films of every user."""
     rows = table(spark, d, "user_ratings").where("rating between 0.5 and 5.0")
@@ -94,18 +104,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_levels(spark, d).where("n_words >= 40 AND level = 4").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}
 
 _BASKETS = "b AS (SELECT DISTINCT user_id, movie_id FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL), n AS (SELECT movie_id, count(*) AS n FROM b GROUP BY movie_id), t AS (SELECT count(DISTINCT user_id) AS n FROM b), c AS (SELECT x.movie_id AS a, y.movie_id AS b, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.movie_id < y.movie_id GROUP BY 1, 2 HAVING count(*) >= 8)"
 
-ORACLE = {
-    "p1_found": """
-        WITH e AS (SELECT tmdb_id, 'g' || genre_id AS v FROM movie_genres WHERE tmdb_id IS NOT NULL AND genre_id IS NOT NULL
+_SETS = """e AS (SELECT tmdb_id, 'g' || genre_id AS v FROM movie_genres WHERE tmdb_id IS NOT NULL AND genre_id IS NOT NULL
                    UNION SELECT tmdb_id, 'k' || keyword_id FROM movie_keywords WHERE tmdb_id IS NOT NULL AND keyword_id IS NOT NULL),
         z AS (SELECT tmdb_id, count(*) AS s FROM e GROUP BY tmdb_id HAVING count(*) >= 6),
-        p AS (SELECT e.tmdb_id, e.v, z.s FROM e JOIN z ON e.tmdb_id = z.tmdb_id)
-        SELECT x.tmdb_id AS tmdb_id_a, y.tmdb_id AS tmdb_id_b FROM p x JOIN p y ON x.v = y.v AND x.tmdb_id < y.tmdb_id
-        GROUP BY x.tmdb_id, y.tmdb_id, x.s, y.s HAVING 10 * count(*) >= 6 * (x.s + y.s - count(*))""",
+        p AS (SELECT e.tmdb_id, e.v, z.s FROM e JOIN z ON e.tmdb_id = z.tmdb_id)"""
+_SIMILAR = "SELECT x.tmdb_id AS a, y.tmdb_id AS b FROM p x JOIN p y ON x.v = y.v AND x.tmdb_id < y.tmdb_id GROUP BY x.tmdb_id, y.tmdb_id, x.s, y.s HAVING 10 * count(*) >= 6 * (x.s + y.s - count(*))"
+
+ORACLE = {
+    "p1_found": f"WITH {_SETS} SELECT a AS tmdb_id_a, b AS tmdb_id_b FROM ({_SIMILAR})",
+    "p1_links": f"""WITH {_SETS}, l AS ({_SIMILAR}), u AS (SELECT a FROM l UNION ALL SELECT b FROM l), c AS (SELECT tmdb_id, list(v ORDER BY v) AS vs FROM p GROUP BY 1)
+        SELECT tmdb_id, min(tmdb_id) OVER (PARTITION BY vs) AS class_id, (SELECT count(*) FROM u WHERE u.a = c.tmdb_id) AS n_links FROM c""",
     "p2_found": """
         WITH r AS (SELECT user_id, movie_id, max(rating) AS rating FROM user_ratings
                    WHERE user_id IS NOT NULL AND movie_id IS NOT NULL AND rating >= 0.5 AND rating <= 5.0 GROUP BY 1, 2),

@@ -28,7 +28,7 @@ def resolve_targets(cases: DataFrame, catalogue: DataFrame, fallback=token_set_r
 def positions(scores: DataFrame, targets: DataFrame) -> DataFrame:
     """(case, id, position): where each target stands among the scores (case, id, score); by counting, without a sort."""
     goal = targets.join(scores, ["case", "id"]).select("case", F.col("id").alias("goal"), F.col("score").alias("goal_score"))
-    ahead = scores.join(F.broadcast(goal), "case").where((F.col("score") > F.col("goal_score")) | ((F.col("score") == F.col("goal_score")) & (F.col("id") < F.col("goal"))))
+    ahead = scores.join(goal, "case").where((F.col("score") > F.col("goal_score")) | ((F.col("score") == F.col("goal_score")) & (F.col("id") < F.col("goal"))))
     n = ahead.groupBy("case").agg(F.count(F.lit(1)).alias("n"))
     return goal.join(n, "case", "left").select("case", F.col("goal").alias("id"), (F.coalesce("n", F.lit(0)) + 1).alias("position"))
 

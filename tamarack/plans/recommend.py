@@ -253,8 +253,7 @@ def _percent(a, b):
 
 def year_band_match(spark: SparkSession, d: str) -> DataFrame:
     """How many films of the year, the one before or after each export row meets."""
-    rows = _exports(spark, d).where("year IS NOT NULL")
-    return lk.year_candidates(rows, _titles(spark, d)).groupBy("row").agg(F.count(F.lit(1)).alias("candidates")).withColumnRenamed("row", "row_id")
+    return lk.year_counts(_exports(spark, d), _titles(spark, d)).withColumnRenamed("row", "row_id")
 
 
 def best_title_match(spark: SparkSession, d: str) -> DataFrame:
@@ -274,11 +273,8 @@ def undated_title_match(spark: SparkSession, d: str) -> DataFrame:
 def wratio_match(spark: SparkSession, d: str) -> DataFrame:
     """The most similar title of each export row in its year band by the weighted ratio, over distinct names and years."""
     rows = _exports(spark, d).where("year IS NOT NULL").groupBy("name", "year").agg(F.min("row").alias("row"))
-    # letters and words of a text go along in its key, so that they are taken once and not for every pair
-    key = lambda k, c: F.struct(F.col(k).alias("key"), lk.letters(F.col(c)).alias("letters"), F.split(F.trim(c), r"\s+").alias("words"))
-    cand = lk.year_candidates(rows.withColumn("row", key("row", "name")), _titles(spark, d).withColumn("id", key("id", "title")))
-    near = cand.where(lk.may_reach(F.col("name"), F.col("title"), F.col("row"), F.col("id"))).withColumns({"row": F.col("row.key"), "id": F.col("id.key")})
-    return lk.best_title(near).select(F.col("row").alias("row_id"), F.col("id").alias("tmdb_id"), F.round("score", 4).alias("score"))
+    best = lk.best_title(lk.year_candidates(cut(rows), cut(_titles(spark, d)), reach=True))
+    return best.select(F.col("row").alias("row_id"), F.col("id").alias("tmdb_id"), F.round("score", 4).alias("score"))
 
 
 def lexicographic_best(spark: SparkSession, d: str) -> DataFrame:

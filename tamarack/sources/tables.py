@@ -58,6 +58,20 @@ def catalogue(df: DataFrame) -> DataFrame:
     return df.withColumns({"overview": F.coalesce("overview", F.lit("")), "origin_countries": countries(F.col("origin_countries"))})
 
 
+def any_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogue rows from what lies in `folder`: the table movies.parquet if there is one, else movies.json."""
+    fs, p = path_of(spark, f"{folder}/movies.parquet")
+    if fs.exists(p):
+        return catalogue(spark.read.parquet(f"{folder}/movies.parquet"))
+    return normalise_json(json_catalogue(spark, f"{folder}/movies.json"))
+
+
+def append_ratings(df: DataFrame, path: str) -> None:
+    """Adds rows (user, item, rating) to the ratings at `path`, each with the time of writing; ratings outside 0.5 to 5 are refused."""
+    checked = F.when(F.col("rating").between(0.5, 5.0), F.col("rating").cast("double")).otherwise(F.raise_error(F.lit("a rating must lie between 0.5 and 5")))
+    df.select("user", "item", checked.alias("rating"), F.current_timestamp().alias("rated_at")).write.mode("append").parquet(path)
+
+
 def ratings_csv(spark: SparkSession, path: str) -> DataFrame:
     """A ratings export with header and optional byte order mark; quoted fields may hold commas, quotes and line ends."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -3,10 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack import cli
 from tamarack.api import BadRequest, Service
+from tamarack.config import settings
 from tamarack.functions.models import encode, hashed_encoder, keyword_vectors, score_pairs
+from tamarack.operators import collaborative as cf
 from tamarack.operators.bm25 import Bm25Index
 from tamarack.operators.search import SearchEngine
+from tamarack.sources import tables as so
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +66,42 @@ def test_models(spark):
     assert [r[0] for r in df.select(score_pairs(F.col("t"), F.lit("xy"), lambda: lambda pairs: [float(len(a) + len(b)) for a, b in pairs])).collect()] == [5.0, 2.0]
     names = spark.createDataFrame([("Sea ",), ("sea",), (None,)], "name string")
     assert keyword_vectors(names, hashed_encoder(4)).count() == 1
+
+
+def test_commands(spark, tmp_path, capsys):
+    films = spark.createDataFrame([(k, f"Filme {w}", f"um {w} cruza o mar", 1990 + k, "pt", 10 * k, 6.0, float(k)) for k, w in enumerate(("trem", "barco", "farol", "navio"), 1)], "tmdb_id long, title string, overview string, release_year int, original_language string, vote_count long, vote_average double, popularity double")
+    films.write.parquet(f"{tmp_path}/films/movies.parquet")
+    cli.main(["build-index", f"{tmp_path}/films", f"{tmp_path}/index"])
+    engine = SearchEngine.load(spark, f"{tmp_path}/index")
+    assert engine.vectors is None and engine.genres is None
+    assert [r["id"] for r in engine.search("barco no mar", "synopsis", 1).collect()] == [2]
+    spark.createDataFrame([(1, "o farol", "farol", 1993), (2, "mar", "navio", 1994), (3, "xyz", "trem", 1991)], "case int, query string, hint string, year int").write.parquet(f"{tmp_path}/cases")
+    cli.main(["evaluate", f"{tmp_path}/index", f"{tmp_path}/cases"])
+    assert "'n': 3, 'resolved': 2, 'mrr': 0.4167" in capsys.readouterr().out
+    rated = [(u, i, float(1 + (u + i) % 5)) for u in range(30) for i in range(12) if (u * i) % 3]
+    spark.createDataFrame(rated, "user_id long, movie_id long, rating double").write.parquet(f"{tmp_path}/ratings")
+    cli.main(["train", f"{tmp_path}/ratings", f"{tmp_path}/model", "--factors", "2", "--rounds", "2"])
+    assert "'rmse'" in capsys.readouterr().out
+    mu, items, near = cf.load(spark, f"{tmp_path}/model")
+    assert 1 < mu < 5 and items.count() == 8 and near.where("src = dst").count() == 0
+
+
+def test_sources_and_settings(spark, tmp_path):
+    (tmp_path / "movies.json").write_text('{"id": 1, "title": "T", "release_date": "1999-02-01"}')
+    assert [r["release_year"] for r in so.any_catalogue(spark, str(tmp_path)).collect()] == [1999]
+    spark.createDataFrame([(5, "U", None, "BR|PT", 2001)], "tmdb_id long, title string, overview string, origin_countries string, release_year int").write.parquet(f"{tmp_path}/movies.parquet")
+    assert [(r["tmdb_id"], r["origin_countries"]) for r in so.any_catalogue(spark, str(tmp_path)).collect()] == [(5, ["BR", "PT"])]
+    one = spark.createDataFrame([(1, 2, 4.5)], "user long, item long, rating double")
+    so.append_ratings(one, f"{tmp_path}/rated")
+    so.append_ratings(one, f"{tmp_path}/rated")
+    assert spark.read.parquet(f"{tmp_path}/rated").where("rated_at IS NOT NULL").count() == 2
+    with pytest.raises(Exception, match="between"):
+        so.append_ratings(one.withColumn("rating", F.lit(9.0)), f"{tmp_path}/rated")
+    (tmp_path / ".env").write_text("# a note\nA=1\nexport B='two words'\nC = x=y\nnothing\nA2=\n")
+    assert settings(f"{tmp_path}/.env", {"A": "9"}) == {"A": "9", "B": "two words", "C": "x=y", "A2": ""} and settings(f"{tmp_path}/none", {}) == {}
+
+
+def test_explanations(service):
+    got = service.search({"query": "trem mar filme", "director": "Ana"}).orderBy("position").collect()
+    assert got and all(r["explanation"]["constraints"] == {"director": "Ana"} for r in got)
+    assert got[0]["explanation"]["matched_title_terms"] == ["filme"] and got[0]["explanation"]["matched_keywords"] == []

@@ -6,6 +6,8 @@ the weighted ratio that takes the best of them scaled by how different the lengt
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,17 +34,31 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a window of the longer one; windows may run over its ends."""
+    """Best ratio of the shorter string with a window of the longer one; windows may run over its ends.
+
+    The letters that a window shares with the shorter string, in any order, are counted as the window moves; only
+    windows whose count allows for a better ratio than the best so far are measured.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, best = len(a), 0.0
-    own = set(a)
+    n, best, own = len(a), 0.0, Counter(a)
+    held: Counter = Counter()
+    shared = 0
     for start in range(1 - n, len(b)):
-        w = b[max(0, start) : start + n]
-        # a window that starts or ends outside the shorter string's characters is beaten by its neighbour
-        if w and (w[-1] in own if start + n <= len(b) else w[0] in own):
+        end = start + n
+        if end <= len(b):  # a letter comes in
+            c = b[end - 1]
+            held[c] += 1
+            shared += held[c] <= own[c]
+        if start > 0:  # and one leaves
+            c = b[start - 1]
+            shared -= held[c] <= own[c]
+            held[c] -= 1
+        w = b[max(0, start) : end]
+        # a window that starts or ends outside the shorter string's letters is beaten by its neighbour
+        if w and 200.0 * shared > best * (n + len(w)) and (w[-1] in own if end <= len(b) else w[0] in own):
             best = max(best, ratio(a, w))
             if best == 100.0:
                 break

@@ -10,6 +10,7 @@ from tamarack.functions.models import encode, hashed_encoder, keyword_vectors, s
 from tamarack.operators import collaborative as cf
 from tamarack.operators.bm25 import Bm25Index
 from tamarack.operators.search import SearchEngine
+from tamarack.sources import remote
 from tamarack.sources import tables as so
 
 
@@ -105,3 +106,14 @@ def test_explanations(service):
     got = service.search({"query": "trem mar filme", "director": "Ana"}).orderBy("position").collect()
     assert got and all(r["explanation"]["constraints"] == {"director": "Ana"} for r in got)
     assert got[0]["explanation"]["matched_title_terms"] == ["filme"] and got[0]["explanation"]["matched_keywords"] == []
+
+
+def test_lookups_by_a_service(spark):
+    def factory():
+        known = {"a": {"id": 1, "title": "A"}, "b": [{"id": 2}, {"id": 3, "title": "B3"}], "c": [], "d": None}
+        return known.__getitem__
+
+    keys = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), ("x",), (None,)], "k string")
+    got = sorted((tuple(r) for r in remote.lookup(keys, "k", factory, "id long, title string").collect()), key=str)
+    assert got == [("a", True, 1, 1, "A"), ("b", True, 1, 2, None), ("b", True, 2, 3, "B3"), ("c", True, None, None, None), ("d", True, None, None, None), ("x", False, None, None, None)]
+    assert remote.lookup(keys.limit(0), "k", factory, "id long").count() == 0

@@ -1,6 +1,7 @@
 """Text, vectors, similarity and fusion on hand-made frames."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,25 @@ def test_relevance_confidence_shares(spark):
     assert [(x["signal"], x["share"]) for x in got][:3] == [("synopsis", 0.5), ("name", 0.333), ("lexical", 0.167)]
     assert math.isclose(sum(x["share"] for x in got), 1, abs_tol=0.002)
     assert c(se.matched_title_terms("o trem azul do mar", F.lit("Trem Azul, trem de Mar"))) == ["trem", "azul", "mar"]
+
+
+def test_partial_ratio_against_every_window():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc d", k=rng.randint(1, 9))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        windows = [long[max(0, s) : s + len(short)] for s in range(1 - len(short), len(long))]
+        assert si.partial_ratio(a, b) == pytest.approx(max(si.ratio(short, w) for w in windows)), (a, b)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "name", "value"),
+    [
+        # values of the public definition, worked out by hand
+        ("this is a test", "this is a test!", "ratio", 100 * 28 / 29), ("this is a word", "THIS IS A WORD", "ratio", 100 * 6 / 28), ("this is a test", "this is a test!", "partial_ratio", 100.0),
+        ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", "token_sort_ratio", 100.0), ("fuzzy was a bear but not a dog", "fuzzy was a bear", "token_set_ratio", 100.0),
+        ("abcd", "abce", "weighted_ratio", 75.0), ("a b", "b a", "weighted_ratio", 95.0), ("trem", "o trem azul do norte", "weighted_ratio", 90.0), ("", "x", "weighted_ratio", 0.0), ("ab", "ab" + "x" * 30, "weighted_ratio", 60.0),
+    ],
+)
+def test_ratios(a, b, name, value):
+    assert getattr(si, name)(a, b) == pytest.approx(value)

@@ -48,8 +48,14 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
+        """The vocabulary in a tokenizer's file; a file that asks for another way of encoding is refused."""
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            said = json.load(f)
+        model, split = said["model"], said.get("pre_tokenizer") or {}
+        byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not byte_level or not plain or said.get("normalizer"):
+            raise ValueError(f"{path} is no plain byte-level BPE without normalisation, split by the byte-level pattern")
         ids = model["vocab"]
         chars = _byte_chars()
         byte_ids = np.zeros(256, np.int64)

@@ -94,6 +94,13 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled: their number, the least number that could hold the tokens, the fullest, the share used."""
+    held = p9_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    total = F.sum("n")
+    return held.agg(F.count_if(F.col("n") > 0).alias("n_containers"), F.ceil(total / CAPACITY).alias("least"), F.max("n").alias("fullest"), F.round(total / (F.count_if(F.col("n") > 0) * CAPACITY), 4).alias("share_used"))
+
+
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     """The reading level of every document, calibrated by readers' judgements."""
     return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "reading_level").select("doc_id", "n_words", "level")
@@ -104,7 +111,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_levels(spark, d).where("n_words >= 40 AND level = 4").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_levels": p10_levels, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_restored": p7_restored, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_levels": p10_levels, "p10_found": p10_found}
 
 _BASKETS = "b AS (SELECT DISTINCT user_id, movie_id FROM user_ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL), n AS (SELECT movie_id, count(*) AS n FROM b GROUP BY movie_id), t AS (SELECT count(DISTINCT user_id) AS n FROM b), c AS (SELECT x.movie_id AS a, y.movie_id AS b, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.movie_id < y.movie_id GROUP BY 1, 2 HAVING count(*) >= 8)"
 

@@ -1,5 +1,6 @@
 """Skeletons, encodings, tokens, containers, reading levels, entity matching."""
 
+import json
 import math
 import os
 import random
@@ -129,6 +130,16 @@ def test_bpe_equals_library(spark):
     assert bpe.encode_corpus(df.limit(0), "ids", "text", PATH).count() == 0
 
 
+def test_other_ways_of_encoding_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        said = json.load(f)
+    said["model"] |= {"vocab": {}, "merges": []}
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": said["model"] | {"ignore_merges": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(said | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.Vocabulary.load(str(tmp_path / "t.json"))
+
+
 def test_long_words_merge_alike():
     v = bpe.Vocabulary.load(PATH)
     word = ("internationalization" * 15).encode()
@@ -273,6 +284,14 @@ def test_retrieval_of_real_names(spark):
     assert got == pytest.approx(brute_bm25(queries, docs, match.TOP))
 
 
+def test_many_entities_of_one_name_and_year(spark):
+    """Between them nothing decides, and they make no more candidates than one."""
+    films = [(k, "Zemicota", 1990) for k in range(400)] + [(1000, "Zemicota", 1994)] + [(2000 + k, f"Casa {chr(97 + k)}xuqoro", 1990) for k in range(20)]
+    left = spark.createDataFrame([(1, "Zemicota", 1990), (2, "Zemicota", 1994), (3, "Zemicota", None)], "id long, title string, year int")
+    got = match.match_entities(left, "id", "title", "year", spark.createDataFrame(films, "film long, title string, year int"), "film", "title", "year", accept=0.0)
+    assert {r["id"]: r["film"] for r in got.collect()} == {2: 1000}
+
+
 def test_a_nearer_name_of_another_entity_turns_a_match_down(spark):
     films = [(k, f"Farol {a} de Vasodira", 1990) for k, a in enumerate(("Azul", "Verde"))] + [(10 + k, f"Casa {chr(97 + k % 26)}{chr(97 + k // 26)}xuqoro", 1990) for k in range(60)]
     rows = [(0, "Farol Azul de Vasodira", 1990), (1, "Farol Verde de Vasodira", 1990), (2, "Farol de Vasodira", 1990), (3, "Farol Azlu de Vasodira", 1990)]

@@ -1,9 +1,10 @@
 """Delimited lines that fail to parse: the valid ones become rows, the others come out with the reason.
 
-Lines of a plain shape, which parse at cost 0, are split and judged with built-in expressions. All others go through a minimum-cost parse: a
-dynamic program over the marks of the line (quotes and delimiters) that may delete or insert quotes, then one over the
-fields that may delete or insert delimiters until the number of columns fits and as many fields as possible are valid.
-A line that parses at cost 0 and whose fields are valid is loaded; for any other the edits state what is wrong.
+Lines of a plain shape, which parse at cost 0, are split and judged with built-in expressions. All others go through a
+minimum-cost parse: a dynamic program over the marks of the line (quotes and delimiters) and the columns so far, which
+may insert or delete quotes and delimiters, finds the fewest edits that make the quotes legal and give the layout's
+number of columns; which of the delimiters they fall on is settled by a second one over the fields, so that as many as
+possible are valid. Quotes that are legal as they stand are left alone. A line that parses at cost 0 and whose fields are valid is loaded; for any other the edits state what is wrong.
 """
 
 from __future__ import annotations
@@ -77,49 +78,59 @@ def marks(line: str, delimiter: str) -> list[str]:
     return re.findall(rf'"|{re.escape(delimiter)}|[^"{re.escape(delimiter)}]+', line)
 
 
-def settle_quotes(parts: list[str], delimiter: str) -> tuple[int, list[tuple[str, int]], list[str]]:
-    """(cost, edits, fields): the fewest quotes deleted or inserted that make every quote legal.
+def settle_quotes(parts: list[str], delimiter: str, want: int | None = None) -> tuple[int, list[tuple[str, int]], list[str]]:
+    """(cost, edits, fields): the fewest quotes deleted or inserted that make every quote legal; with `want` those that
+    are fewest together with the delimiters to delete or insert until there are so many fields, quotes counting more.
 
-    States: at a field's start, in a plain field, in a quoted one, after its closing quote. A quote is legal at a field's
-    start, doubled inside a quoted field, or as the last character of such a field.
+    States: at a field's start, in a plain field, in a quoted one, after its closing quote, each with the number of
+    fields ended, up to `want`: every field beyond costs a delimiter. A quote is legal at a field's start, doubled
+    inside a quoted field, or as the last character of such a field.
     """
     START, PLAIN, QUOTED, CLOSED = range(4)
-    # state -> (cost, link); link = (link before, edit or None, characters for the field or None at a field's end)
-    best: dict[int, tuple] = {START: (0, None)}
+    most = 0 if want is None else want
+    QUOTE, DELIMITER = 1_000_001, 1_000_000  # equal numbers of edits: rather delimiters than quotes
+    # (state, fields ended) -> (cost, link); link = (link before, edit or None, characters for the field or None at a field's end)
+    best: dict[tuple[int, int], tuple] = {(START, 0): (0, None)}
 
-    def better(into: dict, state: int, cost: int, link: tuple) -> None:
-        if state not in into or cost < into[state][0]:
-            into[state] = (cost, link)
+    def better(into: dict, state: int, n: int, cost: int, link: tuple) -> None:
+        key = (state, n)
+        if key not in into or cost < into[key][0]:
+            into[key] = (cost, link)
 
     for at, mark in enumerate(parts):
-        new: dict[int, tuple] = {}
+        new: dict[tuple[int, int], tuple] = {}
         # a quote may be inserted before this mark: it opens at a field's start and closes a quoted field
-        for state, (cost, link) in list(best.items()):
+        for (state, n), (cost, link) in list(best.items()):
             if state == START and mark != '"':
-                better(best, QUOTED, cost + 1, (link, ("insert quote", at), ""))
+                better(best, QUOTED, n, cost + QUOTE, (link, ("insert quote", at), ""))
             if state == QUOTED and mark == delimiter:
-                better(best, CLOSED, cost + 1, (link, ("insert quote", at), ""))
-        for state, (cost, link) in best.items():
+                better(best, CLOSED, n, cost + QUOTE, (link, ("insert quote", at), ""))
+        for (state, n), (cost, link) in best.items():
             if mark == '"':
-                better(new, state, cost + 1, (link, ("delete quote", at), ""))
+                better(new, state, n, cost + QUOTE, (link, ("delete quote", at), ""))
                 if state == START:
-                    better(new, QUOTED, cost, (link, None, ""))
+                    better(new, QUOTED, n, cost, (link, None, ""))
                 elif state == QUOTED:
-                    better(new, CLOSED, cost, (link, None, ""))
-                    better(new, QUOTED, cost + 1, (link, ("insert quote", at), '"'))  # doubled
+                    better(new, CLOSED, n, cost, (link, None, ""))
+                    better(new, QUOTED, n, cost + QUOTE, (link, ("insert quote", at), '"'))  # doubled
                 elif state == CLOSED:
-                    better(new, QUOTED, cost, (link, None, '"'))
+                    better(new, QUOTED, n, cost, (link, None, '"'))
             elif mark == delimiter:
-                better(new, QUOTED if state == QUOTED else START, cost, (link, None, mark if state == QUOTED else None))
+                if state == QUOTED:
+                    better(new, QUOTED, n, cost, (link, None, mark))
+                else:  # the last field is ended by the line's end, so this one is the first of two at least
+                    beyond = most and n >= most - 1
+                    better(new, START, n if beyond or not most else n + 1, cost + (DELIMITER if beyond else 0), (link, None, None))
             elif state == QUOTED:
-                better(new, QUOTED, cost, (link, None, mark))
+                better(new, QUOTED, n, cost, (link, None, mark))
             elif state in (START, PLAIN):
-                better(new, PLAIN, cost, (link, None, mark))
+                better(new, PLAIN, n, cost, (link, None, mark))
         best = new
-    if QUOTED in best:
-        cost, link = best[QUOTED]
-        better(best, CLOSED, cost + 1, (link, ("insert quote", len(parts)), ""))
-    cost, link = min(((c, x) for s, (c, x) in best.items() if s != QUOTED), key=lambda v: v[0])
+    for (state, n), (cost, link) in list(best.items()):
+        if state == QUOTED:
+            better(best, CLOSED, n, cost + QUOTE, (link, ("insert quote", len(parts)), ""))
+    missing = lambda n: DELIMITER * (most - 1 - n) if most else 0
+    _, link = min(((c + missing(n), x) for (s, n), (c, x) in best.items() if s != QUOTED), key=lambda v: v[0])
     steps = []
     while link:
         steps.append(link[1:])
@@ -132,7 +143,7 @@ def settle_quotes(parts: list[str], delimiter: str) -> tuple[int, list[tuple[str
             fields.append("")
         else:
             fields[-1] += text
-    return cost, edits, fields
+    return len(edits), edits, fields
 
 
 def settle_delimiters(fields: list[str], layout: Layout) -> tuple[int, list[tuple[str, int]], list[str]]:
@@ -184,12 +195,16 @@ def settle_delimiters(fields: list[str], layout: Layout) -> tuple[int, list[tupl
 
 
 def parse_line(line: str, layout: Layout) -> tuple[str | None, list[str], int, list[str]]:
-    """(reason or None, fields as read or repaired, cost, edits). Cost 0 and no reason: the line is a row."""
-    cost, edits, fields = settle_quotes(marks(line, layout.delimiter), layout.delimiter)
-    reason = "quoting" if cost else None
+    """(reason or None, fields as read or repaired, cost, edits). Cost 0 and no reason: the line is a row.
+
+    The reason is `quoting` if no way to read the line does without touching quotes, whatever the number of columns.
+    """
+    parts = marks(line, layout.delimiter)
+    cost, edits, fields = settle_quotes(parts, layout.delimiter)
+    reason = "quoting" if cost else "columns" if len(fields) != len(layout.columns) else None
+    if cost:  # the least edits of both kinds together; quotes that are legal as they stand are left alone
+        cost, edits, fields = settle_quotes(parts, layout.delimiter, len(layout.columns))
     cost2, more, fields = settle_delimiters(fields, layout)
-    if cost2 and reason is None:
-        reason = "columns"
     if reason is None:
         reason = next((c.reason for c in layout.checks if c.fails(fields[c.column])), None)
     return reason, fields, cost + cost2, [f"{what} at {at}" for what, at in edits + more]

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ from tamarack.operators.dense import top_products
 from tamarack.operators.search import SearchEngine, facet_filter
 from tamarack.plans.imports import RATINGS_EXPORT
 from tamarack.sources import tables as so
-from tamarack.sources.malformed import parse_line, read_lines, settle_delimiters
+from tamarack.sources.malformed import marks, parse_line, read_lines, settle_delimiters, settle_quotes
 from tamarack.streaming import popularity as sp
 
 DOCS = [(1, "trem azul trem"), (2, "mar azul"), (3, ""), (4, None), (5, "avó AVÓ avo")]
@@ -241,6 +242,8 @@ def test_many_surplus_delimiters_are_split_over_two_fields():
     name, review = ",".join(f"n{k}" for k in range(41)), ",".join(f"r{k}" for k in range(31))
     reason, fields, cost, edits = parse_line(f"2020,{name},1999,u,3.5,{review}", RATINGS_EXPORT)
     assert (reason, cost, len(edits)) == ("columns", 70, 70) and fields == ["2020", name, "1999", "u", "3.5", review]
+    # an opening quote that is never closed: the closing one goes where the columns fit
+    assert parse_line('2020,"Um, dois,1999,u,3.5,ok', RATINGS_EXPORT)[:3] == ("quoting", ["2020", "Um, dois", "1999", "u", "3.5", "ok"], 1)
     # by trying every way on short lines
     rng = random.Random(3)
     for _ in range(300):
@@ -315,3 +318,33 @@ def test_pairs_of_hot_keys(spark):
     b = spark.createDataFrame([(0 if k % 3 else k % 5, k) for k in range(60)] + [(None, 2)], "key int, b int")
     rows = lambda df: sorted(tuple(r) for r in df.select("key", "a", "b").collect())
     assert rows(runtime.salted_pairs(a, b, "key", "b", 3)) == rows(a.join(b, "key")) == rows(runtime.salted_pairs(a, b, "key", "b"))
+
+
+def test_fewest_edits_of_both_kinds():
+    """Against every way to touch up to two quotes, counting the delimiters that are still to go or to come."""
+    legal = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
+    field = re.compile(r',("(?:[^"]|"")*"|[^",]*)')
+
+    def touched(line, times):
+        yield line
+        if times:
+            for k in range(len(line) + 1):
+                yield from touched(line[:k] + '"' + line[k:], times - 1)
+                if line[k : k + 1] == '"':
+                    yield from touched(line[:k] + line[k + 1 :], times - 1)
+
+    rng = random.Random(11)
+    for _ in range(250):
+        line = "".join(rng.choices('a,"', weights=(3, 4, 2), k=rng.randint(0, 8)))
+        ways = {}
+        for quotes in range(3):
+            for x in set(touched(line, quotes)):
+                if legal.fullmatch(x):
+                    total = quotes + abs(len(field.findall("," + x)) - 3)
+                    ways[quotes] = min(total, ways.get(quotes, 99))
+        parts = marks(line, ",")
+        assert (settle_quotes(parts, ",")[0] == 0) == bool(legal.fullmatch(line)), line
+        cost, edits, fields = settle_quotes(parts, ",", 3)
+        assert cost + abs(len(fields) - 3) <= min(ways.values(), default=99), line
+        if cost <= 2:
+            assert cost + abs(len(fields) - 3) == min(ways.values()), line

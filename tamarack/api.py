@@ -26,6 +26,9 @@ class Service:
 
     `engine` holds the catalogue; `genre_lists` is (id, names); `facets` the profile facets (item, value) by name; `posters`
     (id, poster_path); `items`, `near` and `mu` the factor model, without which recommendations are by content alone.
+
+    What a request writes for its plans goes with `runtime.scope`: a service that runs for long takes each request, and
+    reads its result, inside one.
     """
 
     spark: SparkSession

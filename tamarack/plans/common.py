@@ -88,7 +88,7 @@ def index_of(spark: SparkSession, d: str, name: str, rebuild: bool = False) -> B
     key = (spark.sparkContext.applicationId, d, name)
     if rebuild or key not in _indexes:
         source, column, text = {"documents": (table(spark, d, "documents"), "doc_id", "text"), "overviews": (films(spark, d), "tmdb_id", "overview"), "titles": (films(spark, d), "tmdb_id", "title")}[name]
-        path = scratch(spark, f"index-{name}")
+        path = scratch(spark, f"index-{name}", keep=True)
         with scope():
             Bm25Index.build(source, column, text).save(path)
         _indexes[key] = Bm25Index.load(spark, path)

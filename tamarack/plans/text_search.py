@@ -12,7 +12,7 @@ from tamarack.functions.similarity import edit_similarity, name_score
 from tamarack.operators import fusion as fu
 from tamarack.operators import search as se
 from tamarack.plans.common import BM25, FILMS, GENRES, IDF, QUERY, PARTS, PEOPLE, alike_sql, catalogue, credits, films, fold_sql, genre_names, index_of, keyword_bridge, keyword_vectors, parts, people, plain_form, postings_sql, tokens_sql, vectors
-from tamarack.runtime import table
+from tamarack.runtime import scratch, table
 
 #: Document whose vector serves as query vector.
 ANCHOR = 7
@@ -236,15 +236,29 @@ def passage_vectors(spark: SparkSession, d: str) -> DataFrame:
     return films(spark, d).select("tmdb_id", encode(text, hashed_encoder(32)).alias("vector"))
 
 
-def _film_engine(spark: SparkSession, d: str) -> se.SearchEngine:
-    """Search over films; a film's vectors are those whose number is the film's id, or the next, modulo their count."""
+def _new_film_engine(spark: SparkSession, d: str) -> se.SearchEngine:
     cat = catalogue(spark, d).select("id", "title", "overview", "year", "language", "votes", "vote_average", "popularity")
     v = vectors(spark, d)
     numbers = cat.select(F.col("id").alias("film")).crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("n"))))
     mine = lambda k: numbers.withColumn("id", F.pmod(F.col("film") + k, "n")).join(v, "id").select(F.col("film").alias("id"), "vector")
-    words = keyword_bridge(spark, d).dropna().distinct().join(table(spark, d, "keywords").where("name IS NOT NULL"), "keyword_id")
-    terms = words.withColumn("v", F.pmod(F.col("keyword_id").cast("long"), F.lit(v.count()))).join(v.select(F.col("id").alias("v"), "vector"), "v").select("id", "name", "vector")
-    return se.SearchEngine(cat, index_of(spark, d, "overviews"), vectors=mine(0), keyword_vectors=mine(1), genres=genre_names(spark, d), keywords=table(spark, d, "keywords").where("name IS NOT NULL").select(F.col("keyword_id").alias("entity"), "name"), keyword_bridge=keyword_bridge(spark, d).dropna().distinct().select(F.col("keyword_id").alias("entity"), "id"), keyword_terms=terms, base=edit_similarity, title_base=edit_similarity, rescore=lambda q, p: 1.0 / (1 + F.length(p)))
+    bridge, named = keyword_bridge(spark, d).dropna().distinct(), table(spark, d, "keywords").where("name IS NOT NULL")
+    terms = bridge.join(named, "keyword_id").withColumn("v", F.pmod(F.col("keyword_id").cast("long"), F.lit(v.count()))).join(v.select(F.col("id").alias("v"), "vector"), "v").select("id", "name", "vector")
+    tables = {"genres": genre_names(spark, d), "keywords": named.select(F.col("keyword_id").alias("entity"), "name"), "keyword_bridge": bridge.select(F.col("keyword_id").alias("entity"), "id"), "keyword_terms": terms}
+    return se.SearchEngine(cat, index_of(spark, d, "overviews"), vectors=mine(0), keyword_vectors=mine(1), **tables)
+
+
+_saved: dict[tuple[str, str], str] = {}
+
+
+def _film_engine(spark: SparkSession, d: str) -> se.SearchEngine:
+    """Search over films, whose index is written once in a session; a film's vectors are those whose number is the film's
+    id, or the next, modulo their count."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _saved:
+        path = scratch(spark, "films", keep=True)
+        _new_film_engine(spark, d).save(path)
+        _saved[key] = path
+    return se.SearchEngine.load(spark, _saved[key], base=edit_similarity, title_base=edit_similarity, rescore=lambda q, p: 1.0 / (1 + F.length(p)))
 
 
 _FILM_SIGNALS = _signals_sql("films", "tmdb_id", "overview", "vote_count", QUERY, "tmdb_id % (SELECT count(*) FROM embeddings)", "(tmdb_id + 1) % (SELECT count(*) FROM embeddings)")

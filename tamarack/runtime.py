@@ -72,10 +72,10 @@ def scope() -> Iterator[None]:
         _forget(_scopes.pop())
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that goes with the scope."""
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder that goes with the scope, or with `keep` when the process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append((spark, path))
+    _scopes[0 if keep else -1].append((spark, path))
     return path
 
 

@@ -95,10 +95,10 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How well the containers are filled: their number, the least number that could hold the tokens, the fullest, the share used."""
+    """How well the containers are filled: their number, the least number that could hold the tokens, the fullest, the share used; no row without tokens."""
     held = p9_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
     total = F.sum("n")
-    return held.agg(F.count_if(F.col("n") > 0).alias("n_containers"), F.ceil(total / CAPACITY).alias("least"), F.max("n").alias("fullest"), F.round(total / (F.count_if(F.col("n") > 0) * CAPACITY), 4).alias("share_used"))
+    return held.agg(F.count_if(F.col("n") > 0).alias("n_containers"), F.ceil(total / CAPACITY).alias("least"), F.max("n").alias("fullest"), F.round(total / (F.count_if(F.col("n") > 0) * CAPACITY), 4).alias("share_used")).where("n_containers > 0")
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:

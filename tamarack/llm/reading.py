@@ -161,13 +161,13 @@ def fit_borders(x: np.ndarray, level: np.ndarray, levels: int) -> tuple[np.ndarr
     return mean, spread, borders
 
 
-def _expression(mean: np.ndarray, spread: np.ndarray, w: np.ndarray) -> Column:
-    z = [f"((`{f}` - {float(m)!r}D) / {float(s)!r}D)" for f, m, s in zip(FEATURES, mean, spread, strict=True)]
-    n, at = len(z), 1 + len(z)
+def _expression(w: np.ndarray) -> Column:
+    """The terms of the scaled features times the coefficients."""
+    n, at = len(FEATURES), 1 + len(FEATURES)
     parts = [f"{float(w[0])!r}D"]
-    for i in range(n):
-        inner = [f"{float(w[1 + i])!r}D"] + [f"{float(w[at + j - i])!r}D * {z[j]}" for j in range(i, n)]
-        parts.append(f"{z[i]} * ({' + '.join(inner)})")
+    for i, f in enumerate(FEATURES):
+        inner = [f"{float(w[1 + i])!r}D"] + [f"{float(w[at + j - i])!r}D * `{FEATURES[j]}`" for j in range(i, n)]
+        parts.append(f"`{f}` * ({' + '.join(inner)})")
         at += n - i
     return F.expr(" + ".join(parts))
 
@@ -189,7 +189,9 @@ def reading_levels(df: DataFrame, key: str, text: str, labels: DataFrame, label_
         out = measured.select("*", *[F.lit(None).cast("double").alias(b) for b in names])
     else:
         mean, spread, borders = fit_borders(rows[:, 1:], rows[:, 0], levels)
-        out = measured.select("*", *[_expression(mean, spread, w).alias(b) for b, w in zip(names, borders, strict=True)])
+        scaled = measured.select("key", "n_words", *[((F.col(f) - float(m)) / float(d)).alias(f) for f, m, d in zip(FEATURES, mean, spread, strict=True)])
+        # written once: the borders are read several times below, and their terms would be put in wherever they are
+        out = cut(scaled.select("key", "n_words", *[_expression(w).alias(b) for b, w in zip(names, borders, strict=True)]))
     out = out.withColumns({b: F.greatest(*names[k:]) for k, b in enumerate(names[:-1])})
     above = [F.when(F.col(b) > 0, 1).when(F.col(b) <= 0, 0) for b in names]
     return out.select(F.col("key").alias(key), "n_words", (sum(above[1:], above[0]) + 1).alias("level"), *names)

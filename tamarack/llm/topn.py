@@ -20,14 +20,15 @@ from tamarack.runtime import cut
 
 MAX_BOUNDS = 500_000
 BUFFER_ROWS = 1 << 18
+COLUMNS = ["g", "s", "i", "seen"]
 
 
 def _local_bounds(n: int):
-    """Arrow batches (g, s, i) -> rows (g, neg, item, seen): the local n-th best distinct item and the rows counted."""
+    """Arrow batches (g, s, i) -> rows (g, s, i, seen): the local n-th best distinct item and the rows counted."""
 
     def best(parts: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
         t = pa.concat_tables(parts).group_by(["g", "i"]).aggregate([("s", "max"), ("seen", "sum")])
-        t = t.rename_columns(["g", "i", "s", "seen"]).combine_chunks().sort_by([("g", "ascending"), ("s", "descending"), ("i", "ascending")])
+        t = t.rename_columns(["g", "i", "s", "seen"]).select(COLUMNS).combine_chunks().sort_by([("g", "ascending"), ("s", "descending"), ("i", "ascending")])
         codes = t["g"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
         sizes = np.diff(np.r_[first, len(codes)])
@@ -44,9 +45,9 @@ def _local_bounds(n: int):
         held: list[pa.Table] = []
         rows, pos = 0, np.zeros(0, int)
         for b in batches:
-            t = pa.Table.from_batches([b])
-            held.append(t.append_column("seen", pa.array(np.ones(t.num_rows, np.int64))))
-            rows += t.num_rows
+            # made from arrays, as what `best` gives is: tables are put together only if their schemas are equal
+            held.append(pa.table([*(b.column(c) for c in COLUMNS[:3]), pa.array(np.ones(b.num_rows, np.int64))], names=COLUMNS))
+            rows += b.num_rows
             if rows >= BUFFER_ROWS:
                 t, pos = best(held)
                 held, rows = [t], 0
@@ -58,7 +59,7 @@ def _local_bounds(n: int):
         first = np.flatnonzero(pos == 0)
         seen = np.repeat(t["seen"].to_numpy()[first], np.diff(np.r_[first, len(pos)]))
         t = t.set_column(3, "seen", pa.array(seen)).filter(pa.array(pos == n - 1))
-        yield from t.select(["g", "s", "i", "seen"]).combine_chunks().to_batches()
+        yield from t.combine_chunks().to_batches()
 
     return run
 

@@ -4,8 +4,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
+from tamarack.llm import topn
 from tamarack.llm.cooccur import pairs_together
 from tamarack.llm.setjoin import needed, similar_sets, subset_plan
 from tamarack.llm.topn import top_n
@@ -67,6 +69,25 @@ def test_top_n(spark):
     assert top_n(df.limit(0), "bound", "i", "s", 3).count() == 0
 
 
+def test_top_n_of_partitions_beyond_the_buffer(monkeypatch):
+    """What is held of earlier batches goes together with later ones."""
+    monkeypatch.setattr(topn, "BUFFER_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 5), rng.randint(1, 9) / 2, rng.randint(1, 30)) for _ in range(700)]
+    kinds = [pa.field("g", pa.int64(), nullable=False), pa.field("s", pa.float64()), pa.field("i", pa.int64())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 40], strict=True)], schema=pa.schema(kinds)) for k in range(0, 700, 40)]
+    got = {(r["g"], r["s"], r["i"], r["seen"]) for b in topn._local_bounds(3)(iter(batches)) for r in b.to_pylist()}
+    want = set()
+    for g in range(1, 6):
+        best = {}
+        for h, s, i in rows:
+            if h == g:
+                best[i] = max(best.get(i, 0), s)
+        s, i = sorted((-s, i) for i, s in best.items())[2]
+        want.add((g, -s, i, sum(h == g for h, _, _ in rows)))
+    assert got == want
+
+
 def test_top_n_strings_and_dates(spark):
     df = spark.sql("SELECT * FROM VALUES ('a', 'x', 1), ('a', 'y', 1), ('a', 'z', 2), ('b', 'x', 0) AS t(g, i, s)")
     assert sorted(tuple(r) for r in top_n(df, "g", "i", "s", 2).collect()) == [("a", "x", 1, 2), ("a", "z", 2, 1), ("b", "x", 0, 1)]

@@ -14,7 +14,7 @@ import pytest
 
 from tamarack.llm import bpe, match, mojibake, packing, reading, retrieval
 from tamarack.llm.queries import TOKENIZERS
-from tamarack.llm.skeleton import look_alikes, skeleton, skeletons
+from tamarack.llm.skeleton import confusables, look_alikes, skeleton, skeletons
 
 PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -51,6 +51,15 @@ def test_look_alikes_of_every_script(spark):
     assert all(forms[a] != forms[b] for a, b in apart), [p for p in apart if forms[p[0]] == forms[p[1]]]
 
 
+def test_no_confusables_data_is_an_error():
+    class Gone:
+        def __getattr__(self, name):
+            raise TypeError("'JavaPackage' object is not callable")
+
+    with pytest.raises(RuntimeError, match="ICU"):
+        confusables(Gone())
+
+
 def test_look_alikes(spark):
     left = spark.createDataFrame([(1, "Тhе Sea", 0), (1, "Тhе Sea", 0), (2, "The Sea", 0), (3, None, 0), (None, "x", 0), (4, "", 0)], "id long, t string, form int")
     right = spark.createDataFrame([(10, "The Sea"), (11, "Тhе Sea"), (12, "the sea"), (13, ""), (14, None)], "k long, n string")

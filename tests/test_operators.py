@@ -125,6 +125,31 @@ def test_linkage(spark):
     assert {r["row"]: r["id"] for r in lk.best_title(lk.year_candidates(rows, cat), cutoff=80.0).collect()}[11] == 3
 
 
+def test_near_titles_are_few_and_whole(spark):
+    """Every pair that reaches the cutoff comes once, and hardly any beside them, though all share a triple of letters."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéдж海", k=7))
+    texts = [f"the {word()} {word()}" for _ in range(80)] + ["", "a", "ab", "海", "海の", "x" * 300]
+    texts += [t[:k] + rng.choice(["", "é", "zz"]) + t[k + 1 :] for t in texts if t for k in [rng.randrange(len(t))]]
+    texts = sorted(set(texts))
+    rows = [(k, t, rng.choice([1999, 2000, 2003, None])) for k, t in enumerate(texts)] + [(900, None, 2000)]
+    films = [(k, t, rng.choice([1999, 2001, 2002, None])) for k, t in enumerate(texts)] + [(901, None, 2000)]
+    left, right = spark.createDataFrame(rows, "row long, name string, year int"), spark.createDataFrame(films, "id long, title string, year int")
+    got = [(r["row"], r["id"]) for r in lk.year_candidates(left, right, alike=True).collect()]
+    fits = F.col("year").isNull() | (F.abs(F.col("year") - F.col("ty")) <= 1)
+    meet = left.crossJoin(right.withColumnRenamed("year", "ty")).where(fits)
+    want = {(r["row"], r["id"]) for r in meet.where(100 * edit_similarity(F.col("name"), F.col("title")) >= 82).select("row", "id").collect()}
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(got) < meet.count() / 4
+
+
+def test_best_of_names_for_every_row(spark):
+    rows = spark.createDataFrame([(1, "mar azul", 2000), (2, "mar azul", 2000), (3, "mar azul", None), (4, "mar azul", None), (5, None, 2000)], "row long, name string, year int")
+    films = spark.createDataFrame([(9, "mar azuk", 2001), (7, "mar azul", 1999), (8, "mar azul", 1999), (6, "mar azul", 1950)], "id long, title string, year int")
+    got = {r["row"]: (r["id"], r["score"]) for r in lk.best_of_names(rows, films, lambda a, b: 100 * edit_similarity(a, b), alike=True).collect()}
+    assert got == {1: (7, 100.0), 2: (7, 100.0), 3: (6, 100.0), 4: (6, 100.0)}
+
+
 def test_top_products_and_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 5))

@@ -231,6 +231,26 @@ def test_evaluation(spark):
     assert ev.ranking_metrics(cases, found.limit(0)).first()["mrr"] == 0
 
 
+def test_lexical_positions_without_scores(spark, monkeypatch):
+    """The same as by counting in all scores, which the operator never makes; equal titles and equal scores included."""
+    rng = random.Random(12)
+    words = ["de", "la", "trem", "mar", "azul", "noite", "casa", "rio"]
+    texts = [" ".join(rng.choices(words, [9, 6, 1, 1, 1, 1, 1, 1], k=rng.randint(0, 5))) for _ in range(150)]
+    cat = spark.createDataFrame([(rng.randint(0, 1 << 40), t) for t in texts], "id long, title string")
+    cat = spark.createDataFrame(cat.collect(), cat.schema)
+    index = Bm25Index.build(cat, "id", "title")
+    ids = sorted(r["id"] for r in cat.collect())
+    cases = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:60])], "case long, title string")
+    targets = spark.createDataFrame([(k, rng.choice(ids)) for k in range(60)], "case long, id long")
+    scores = index.batch(cases, "case", "title").select(F.col("query").alias("case"), "id", F.round("score", 6).alias("score"))
+    want = {tuple(r) for r in ev.positions(scores, targets).select("case", "id", "position").collect()}
+    monkeypatch.setattr(Bm25Index, "batch", None)
+    for block in (1000, 40):
+        monkeypatch.setattr(ev, "BLOCK", block)
+        assert {tuple(r) for r in ev.lexical_positions(index, cases, "case", "title", targets).collect()} == want
+    assert len(want) > 20
+
+
 def test_search_modes(spark):
     cat = spark.createDataFrame(
         [(1, "Trem Azul", "um trem azul cruza o mar", 1999, "pt", 100, 7.0, 5.0), (2, "Mar", "o mar e a casa", 2005, "pt", 5, 6.0, 2.0), (3, "Casa Velha", None, None, "en", None, None, None), (4, "Outro", "o trem do mar azul", 1990, "es", 50, 8.0, 9.0)],

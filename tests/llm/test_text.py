@@ -7,6 +7,7 @@ import random
 import unicodedata
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,20 @@ def test_garbled(spark):
     assert mojibake.garbled(df.limit(0), "id", ["key"]).count() == 0
 
 
+def test_margin_of_every_held_out_record(spark):
+    """Beyond four thousand records as well, the one in a thousand that gains most counts."""
+
+    class Stub:
+        def best(self, text):
+            return (float(text[1:]) - 9_990 if float(text[1:]) > 9_990 else 0.0), text, ()
+
+    held = spark.createDataFrame([(f"é{k}",) for k in range(10_000)], "text string")
+    margin = mojibake.validated_margin(SimpleNamespace(value=Stub()), held)
+    assert margin == sorted(max(0.0, k - 9_990.0) for k in range(10_000))[int(0.999 * 9_999)] == 0.0
+    held = held.unionByName(spark.createDataFrame([(f"é{k}",) for k in range(10_000, 10_010)], "text string"))
+    assert mojibake.validated_margin(SimpleNamespace(value=Stub()), held) == sorted(max(0.0, k - 9_990.0) for k in range(10_010))[int(0.999 * 10_009)] > 0
+
+
 def misread(text, *chain):
     """`text` written in one encoding and read by another, step by step."""
     for right, wrong in chain:

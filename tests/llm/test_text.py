@@ -323,3 +323,31 @@ def test_a_nearer_name_of_another_entity_turns_a_match_down(spark):
     right = spark.createDataFrame(films, "film long, title string, year int")
     got = {r["id"]: r["film"] for r in match.match_entities(left, "id", "title", "year", right, "film", "title", "year", accept=0.0).collect()}
     assert got == {0: 0, 1: 1, 3: 0}
+
+
+def test_every_entity_and_row_calibrates_the_confidence(spark, monkeypatch):
+    word = lambda k: "".join(chr(97 + k // 26**p % 26) for p in range(4))
+    films = spark.createDataFrame([(k, f"Casa {word(k)}xu", 1990) for k in range(4_300)], "film long, title string, year int")
+    rows = spark.createDataFrame([(k, f"Casa {word(k)}", 1990) for k in range(20_100)], "id long, title string, year int")
+    asked, seen = [], []
+
+    class Enough(Exception):
+        pass
+
+    def search(queries, docs, k):
+        asked.append({(tuple(r["terms"]), r["year"]) for r in queries.select("terms", "year").collect()})
+        raise Enough
+
+    def calibrate(trials, likely):
+        seen.append(likely.count())
+        raise Enough
+
+    with monkeypatch.context() as m, pytest.raises(Enough):
+        m.setattr(match, "retrieve", search)
+        match.match_entities(rows.limit(1), "id", "title", "year", films, "film", "title", "year")
+    own = [tuple(retrieval.name_terms(*match.analyse(f"Casa {word(k)}xu")[:2])) for k in range(4_300)]
+    assert asked[0] >= {(t, y) for t in own for y in (1990, None)}
+    with monkeypatch.context() as m, pytest.raises(Enough):
+        m.setattr(match, "_calibrate", calibrate)
+        match.match_entities(rows, "id", "title", "year", films.limit(8), "film", "title", "year")
+    assert seen == [20_100]

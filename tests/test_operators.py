@@ -19,6 +19,7 @@ from tamarack.operators import profile as pr
 from tamarack.operators.bm25 import Bm25Index, tfidf
 from tamarack.operators.dense import top_products
 from tamarack.operators.search import SearchEngine, facet_filter
+from tamarack.plans import recommend
 from tamarack.plans.imports import RATINGS_EXPORT
 from tamarack.sources import tables as so
 from tamarack.sources.malformed import marks, parse_line, read_lines, settle_delimiters, settle_quotes
@@ -186,6 +187,31 @@ def test_fold_in_and_cascade(spark):
     assert 7 not in {r["item"] for r in got if r["user"] == 2}
 
 
+def test_neighbours_of_sought_items_are_enough(spark, monkeypatch):
+    """Recommendations are those that neighbours of all items give, and the trained query looks up no others."""
+    rng = np.random.default_rng(8)
+    items = spark.createDataFrame([(i, rng.normal(size=3).tolist(), float(rng.normal())) for i in range(30)], "item long, qi array<double>, bi double")
+    known = spark.createDataFrame([(1, 0, 4.0), (1, 3, 2.0), (2, 7, 5.0), (3, 99, 4.0), (4, 9, 1.0), (5, 7, 4.0), (5, 99, 5.0)], "user long, item long, rating double")
+    cat = spark.createDataFrame([(i, float(i)) for i in range(30)], "item long, popularity double")
+    sought = cf.sought(known, items, 3.5)
+    assert [r["item"] for r in sought.collect()] == [7]
+    rows = lambda near: sorted((r["user"], r["item"], round(r["score"], 9), r["method"], r["rank"]) for r in cf.recommend(known, known, items, near, cat, 3.5, 4).collect())
+    assert rows(cf.neighbours(items, 5)) == rows(cf.neighbours(items, 5, sought))
+    asked, near = [], cf.neighbours
+    monkeypatch.setattr(cf, "neighbours", lambda items, k=50, queries=None: asked.append((items.count(), queries if queries is None else queries.count())) or near(items, k, queries))
+    assert recommend.trained_recommendations(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked[0][1] is not None and asked[0][1] < asked[0][0] / 2
+
+
+def test_factors_of_past_rounds_do_not_stay(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    told, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df: told.append((self.getCheckpointInterval(), spark.sparkContext.getCheckpointDir())) or fit(self, df))
+    cf.train(spark.createDataFrame([(a, b, 1.0 + (a + b) % 5) for a in range(8) for b in range(6)], "user long, item long, rating double"), factors=2, iterations=2)
+    assert told[0][0] == 1 and told[0][1]
+
+
 def test_factor_model_learns(spark, tmp_path):
     rng = np.random.default_rng(5)
     u, i = rng.normal(size=(60, 2)), rng.normal(size=(40, 2))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack import runtime
-from tamarack.functions.similarity import edit_similarity
+from tamarack.functions.similarity import edit_similarity, weighted_ratio
 from tamarack.operators import catalogue as co
 from tamarack.operators import collaborative as cf
 from tamarack.operators import evaluate as ev
@@ -151,6 +151,35 @@ def test_best_of_names_for_every_row(spark):
     assert got == {1: (7, 100.0), 2: (7, 100.0), 3: (6, 100.0), 4: (6, 100.0)}
 
 
+def test_best_by_weight_finds_what_every_pair_gives(spark):
+    """Blanks beyond ASCII part words too; no bound is below the measure, and few pairs need be measured."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["o", "a", "de", "the", "noite", "azul", "farol"]) if rng.random() < 0.5 else "".join(rng.choice("abdeinotx") for _ in range(rng.randint(3, 9)))
+    text = lambda: rng.choice(["\u2007", "  ", "\t", *" " * 9]).join(word() for _ in range(rng.randint(1, 5)))
+    films = [(k, text(), rng.choice([None, 1990, 1991, 1993])) for k in range(150)] + [(900, " ", 1990), (901, "", 1990), (902, None, 1990)]
+    names = [(k, rng.choice([text(), films[k][1], films[k][1][1:]]), rng.choice([None, 1990, 1992])) for k in range(150)] + [(900, "", 1990), (901, None, 1990), (902, "el\u2007faro", 1990), (903, "\t ", 1990)]
+    films.append((5, "el corazon olvidado de xepazasa", 1990))
+    films = list({k: (k, t, y) for k, t, y in films}.values())
+    rows, titles = spark.createDataFrame(names, "row long, name string, year int"), spark.createDataFrame(films, "id long, title string, year int")
+    want = {}
+    for row, name, year in names:
+        if name and year:
+            near = [(-weighted_ratio(name, t), k) for k, t, y in films if t and y and abs(y - year) <= 1]
+            if near and -min(near)[0] >= 82:
+                want[row] = (min(near)[1], -min(near)[0])
+    assert {r["row"]: (r["id"], r["score"]) for r in lk.best_by_weight(rows, titles).collect()} == want and len(want) > 60 and 902 in want
+    a, b = lk._Shapes([n for _, n, _ in names if n]), lk._Shapes([t for _, t, _ in films if t])
+    most = np.array([a.most(k, b, 0, len(b.size)) for k in range(len(a.size))])
+    assert (most >= np.array([[weighted_ratio(n, t) for _, t, _ in films if t] for _, n, _ in names if n])).all()
+
+
+def test_wratio_match_takes_any_blank_between_words(spark, tmp_path):
+    both = [("movies", "SELECT 7L AS tmdb_id, 'El Corazón Olvidado de Xepazasa II' AS title, 2017 AS release_year, 1L AS vote_count, 1D AS popularity, '' AS overview, 'es' AS original_language, 5D AS vote_average, 90 AS runtime_minutes, '' AS origin_countries, '' AS release_date"), ("ratings", "SELECT 1L AS row_id, 'El\u2007Faro' AS name, 2017 AS year, 4D AS rating, '' AS review")]
+    for name, sql in both:
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [tuple(r) for r in recommend.wratio_match(spark, str(tmp_path)).collect()] == [(1, 7, 85.5)]
+
+
 def test_top_products_and_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 5))

@@ -136,3 +136,13 @@ def test_partial_ratio_against_every_window():
 )
 def test_ratios(a, b, name, value):
     assert getattr(si, name)(a, b) == pytest.approx(value)
+
+
+def test_weighted_ratio_from_a_least_value_on():
+    from tamarack.functions.similarity import weighted_ratio
+
+    texts = ["o farol", "farol", "o farol azul de vasodira", "the night", "night of the farol zul", "vasodria", "a b", "xarol zul", "b"]
+    for a in texts:
+        for b in texts:
+            s = weighted_ratio(a, b)
+            assert weighted_ratio(a, b, s) == s and weighted_ratio(a, b, s / 2) == s and weighted_ratio(a, b, s + 1) < s + 1

@@ -293,6 +293,25 @@ def test_retrieval_is_exact(spark, monkeypatch, k, block):
     assert retrieval.retrieve(none, none, k).count() == 0 and retrieval.retrieve(spark.createDataFrame(queries, schema), none, k).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 19])
+def test_queries_of_one_year_are_answered_together(monkeypatch, cells):
+    rng = random.Random(5)
+    docs = [(k, [rng.randint(0, 30) for _ in range(rng.randint(1, 9))], rng.choice([None, 1990, 1991, 1995]), 0) for k in range(120)]
+    docs += [(1000 + r[0], *r[1:]) for r in docs[:10]]  # ties
+    asked = [[rng.randint(0, 40) for _ in range(rng.randint(0, 9))] for _ in range(50)]
+    full = [Counter(t) + Counter([retrieval.year_term(y)] if y else []) for _, t, y, _ in docs]
+    idf = np.zeros(retrieval.TERMS)
+    for t, n in Counter(t for c in full for t in c).items():
+        idf[t] = math.log1p((len(docs) - n + 0.5) / (n + 0.5))
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    table = pa.table({"key": [r[0] for r in docs], "terms": pa.array([r[1] for r in docs], pa.list_(pa.int32())), "year": pa.array([r[2] for r in docs], pa.int32()), "mark": pa.array([0] * len(docs), pa.int64())})
+    index = retrieval.Postings(table, idf, sum(sum(c.values()) for c in full) / len(docs))
+    for year in (None, 1991, 1960):
+        n, keys, scores = index.best(np.array([t for q in asked for t in q], np.int64), np.array([len(q) for q in asked]), year, 0, 4)
+        got = {(int(q), int(d)): s for q, d, s in zip(np.repeat(np.arange(len(asked)), n), keys, scores)}
+        assert got == pytest.approx(brute_bm25([(k, q, year, 0) for k, q in enumerate(asked)], docs, 4))
+
+
 def test_retrieval_of_real_names(spark):
     """The films that names of exports bring up are those of a search of every name against every title."""
     titles = spark.read.parquet(f"{DATA}/movies.parquet").selectExpr("title", "release_year AS year").where("title IS NOT NULL").distinct()

@@ -236,6 +236,32 @@ def test_likeness():
     assert match.distance("abcd", "abdc", 2) == 1 and match.distance("abcd", "xyzw", 2) == 3
 
 
+def test_distance_is_exact_within_its_bound():
+    rng = random.Random(3)
+
+    def edits(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                swap = [d[i - 2, j - 2] + 1] if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] else []
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), *swap)
+        return d[len(a), len(b)]
+
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcde") for _ in range(rng.randint(0, 6))) for _ in range(2))
+        for most in (1, 2):
+            assert min(match.distance(a, b, most), most + 1) == min(edits(a, b), most + 1), (a, b, most)
+
+
+def test_scored_by_the_words_that_were_read():
+    """Names are taken apart once for a name, not once for a pair."""
+    columns = {"q": [1, 2], "words": ["the long way", "long way"], "year": [1990, None], "known": ["long=0.5", None], "entity": [5, 6], "several": [False, True], "form_words": ["long way", "long wax"], "stands": [True, False], "lossy": [False, False], "eyear": [1991, 1990]}
+    (got,) = match._score(iter([pa.RecordBatch.from_pydict(columns)]))
+    a = match.likeness((["the", "long", "way"], (), None), (["long", "way"], (), None), {"long": 0.5})
+    b = match.likeness((["long", "way"], (), None), (["long", "wax"], (), None), {})
+    assert got.to_pydict() == {"q": [1, 2], "entity": [5, 6], "likeness": [a[0], match.SHORTENED * b[0]], "named": [a[1], b[1]], "whole": [a[0], 0.0], "years_apart": [1, None], "several": [False, True]}
+
+
 def test_matching(spark):
     films = [(k, n, y) for k, (n, y) in enumerate([("O Farol de Vasodira", 1999), ("O Farol de Vasodira", 1970), ("Zemicota", 2001), ("Zemicota II", 2003), ("Hodoname: The Bird", None), (None, 2000), ("The Night", 2010), ("", 1990)])]
     rows = [(1, "FAROL DE VASODIRA, O", 2000), (2, "O Farol de Vasodiar", 1970), (3, "Zemicota", None), (4, "Zemictoa II", 2003), (5, "Zemicota IX", 2003), (6, "Hodoname - The Bird", 1980), (7, None, 1999), (8, "Quxelora", 2001), (9, "O Farol de Vasodira", None), (10, "zemicota (2001)", 0), (11, "", None), (3, "Zemicota", None), (12, "Zemicota", 1950)]
